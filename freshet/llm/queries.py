@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.llm import sharding
+from freshet.llm import bpe, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op7_bpe": bpe.op7_bpe,
         "op9_sharding": sharding.op9_sharding,
     }
 
