@@ -19,13 +19,14 @@ from pyspark.sql import types as T
 
 from freshet.llm._stage import table, written
 
-#: A bucket's records in memory: target bytes of text. Buckets grow in number with the input, not in size.
+#: A bucket's records in memory: most bytes of text aimed at. Buckets grow in number with the input, not in size, and are no
+#: fewer than the session's shuffle partitions.
 BUCKET_BYTES = 16 << 20
 
 
 def _n_buckets(docs: DataFrame, text: str) -> int:
     total = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64)).first()[0] or 0
-    return max(1, -(-total // BUCKET_BYTES))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
 
 
 def external_shuffle(docs: DataFrame, shards: int, seed: int = 17, key: str = "doc_id", text: str = "text") -> DataFrame:
