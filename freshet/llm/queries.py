@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.llm import bpe, decontam, sharding
+from freshet.llm import bpe, decontam, minhash, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op4_decontamination": decontam.op4_decontamination,
         "op7_bpe": bpe.op7_bpe,
         "op9_sharding": sharding.op9_sharding,
+        "op10_minhash": minhash.op10_minhash,
     }
 
 
