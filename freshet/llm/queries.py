@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.llm import bpe, decontam, minhash, sharding, substring_dedup
+from freshet.llm import ann, bpe, decontam, minhash, sharding, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op2_hnsw": ann.op2_hnsw,
         "op4_decontamination": decontam.op4_decontamination,
         "op7_bpe": bpe.op7_bpe,
         "op9_sharding": sharding.op9_sharding,
