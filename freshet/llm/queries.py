@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.llm import ann, bpe, decontam, html_text, minhash, secrets, sharding, substring_dedup, toxicity
+from freshet.llm import ann, bpe, decontam, html_text, minhash, pii, secrets, sharding, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_hnsw": ann.op2_hnsw,
+        "op3_pii": pii.op3_pii,
         "op4_decontamination": decontam.op4_decontamination,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_secrets": secrets.op6_secrets,
