@@ -58,7 +58,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) <= n:
-            m = max(n + 1, 2 * len(self.up))
+            m = max(n + 1, len(self.up) + len(self.up) // 4)
             with np.errstate(over="ignore"):
                 self.up = np.cumprod(np.r_[U64(1), np.full(m, self.base, U64)], dtype=U64)
                 self.down = np.cumprod(np.r_[U64(1), np.full(m, self.inverse, U64)], dtype=U64)
