@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm._stage import table, written
-from freshet.llm._words import alnum_words, chunks
+from freshet.llm._words import Chunk, alnum_words, chunks
 
 #: Text of one segment and of one block of benchmark items, in bytes.
 SEGMENT_BYTES = 4 << 20
@@ -76,6 +76,21 @@ def _blocks(benchmark: DataFrame, size: int) -> list[Windows]:
     return [Windows.of(sorted(map(tuple, benchmark.where((part == b) & F.col("text").isNotNull()).select(F.col("item_id").cast("string"), "text").distinct().collect()), key=str), size) for b in range(n)]
 
 
+def postings(c: Chunk, terms: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first position of each row, bounds of each term's list, positions by term and then place) of a chunk."""
+    counts = c.counts()
+    base = np.cumsum(np.r_[0, counts[:-1] + gap])
+    where = np.arange(len(c.hashes)) + np.repeat(base - c.word_at[:-1], counts)
+    if len(terms):
+        term = np.minimum(np.searchsorted(terms, c.hashes), len(terms) - 1)
+        known = np.flatnonzero(terms[term] == c.hashes)
+    else:
+        term = known = np.zeros(0, np.int64)
+    key = (term[known].astype(np.int64) << 32) | where[known]
+    key.sort()
+    return base, np.searchsorted(key >> 32, np.arange(len(terms) + 1)), key & 0xFFFFFFFF
+
+
 def build_index(docs: DataFrame, vocabulary: np.ndarray, gap: int) -> DataFrame:
     """One row per segment: its documents (ids, word counts, first positions) and the postings of ``vocabulary``."""
     spark = docs.sparkSession
@@ -87,23 +102,14 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, gap: int) -> DataFrame:
         for batch in batches:
             for c in chunks(batch.column(1), alnum_words(), lower=True, limit=SEGMENT_BYTES):
                 counts = c.counts()
-                base = np.cumsum(np.r_[0, counts[:-1] + gap])
-                where = np.arange(len(c.hashes)) + np.repeat(base - c.word_at[:-1], counts)
-                if len(terms):
-                    term = np.minimum(np.searchsorted(terms, c.hashes), len(terms) - 1)
-                    known = np.flatnonzero(terms[term] == c.hashes)
-                else:
-                    term = known = np.zeros(0, np.int64)
-                key = (term[known].astype(np.int64) << 32) | where[known]
-                key.sort()
-                lists = np.searchsorted(key >> 32, np.arange(len(terms) + 1))
+                base, lists, positions = postings(c, terms, gap)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([batch.column(0).slice(c.first, c.rows).to_pylist()], pa.list_(batch.column(0).type)),
                         pa.array([counts.astype(np.int64)], pa.list_(pa.int64())),
                         pa.array([base.astype(np.int64)], pa.list_(pa.int64())),
                         pa.array([lists.astype("<i4").tobytes()], pa.binary()),
-                        pa.array([(key & 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary()),
+                        pa.array([positions.astype("<u4").tobytes()], pa.binary()),
                     ],
                     names=["doc_ids", "n_words", "base", "lists", "positions"],
                 )
@@ -242,3 +248,27 @@ def _covered(runs: list[int]) -> int:
         total += max(0, b - max(a, reach))
         reach = max(reach, b)
     return total
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """``docs`` without the documents that hold an exact window of an item; each chunk of rows is indexed and searched in memory."""
+    blocks = _blocks(benchmark, window)
+    spark = docs.sparkSession
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    out = docs.toDF(*names)
+    for w in blocks:
+        shared = spark.sparkContext.broadcast(w)  # BLOCK_BYTES of items at most
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block = shared.value
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for c in chunks(batch.column(at), alnum_words(), lower=True, limit=SEGMENT_BYTES):
+                    base, lists, positions = postings(c, block.vocabulary, window + 2)
+                    _, start, _ = search_segment(block, lists, positions, 0)
+                    keep[c.first + np.searchsorted(base, start, "right") - 1] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, out.schema)
+    return out.toDF(*docs.columns)
