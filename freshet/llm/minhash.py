@@ -11,7 +11,7 @@ the next level.
 Candidates are not listed pair by pair within a bucket. Rounds pick one centre per bucket (first the member with the most
 bucket mates, then a seeded draw), test the members of other components against it on the full sets, and merge
 what passes. Buckets within one component are finished. What then still lies in one bucket but different
-components is tested pair by pair in bounded cells, where a signature estimate far below the threshold rules pairs out. So no link that changes a component is lost
+components is tested pair by pair in bounded cells, where a signature estimate far below the threshold, and then short shingle hashes, rule pairs out. So no link that changes a component is lost
 beyond the banding's odds and the estimate's (a link at 0.8 is estimated under 0.67 with probability 1e-4 or less).
 
 Defined cases: null, empty and wordless texts have empty sets, link with nothing and are their own component; fewer words than
@@ -186,7 +186,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if round_ < STAR_ROUNDS:
             pairs = known.join(open_, "key").where("comp != centre.comp").select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")).distinct()
         else:
-            pairs = _across(known.join(open_.select("key"), "key").select("key", "band", "rep", "comp"), reps.groupBy("rep").agg(F.first("sig").alias("sig"))).distinct()
+            rows = written(known.join(open_.select("key"), "key").select("key", "band", "rep", "comp"), "open")
+            sketches = reps.select("rep", "sig").join(short_sets(texts.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), k), "rep")
+            pairs = _across(rows, sketches.groupBy("rep").agg(F.first("sig").alias("sig"), F.max("shingles").alias("shingles")), percent).distinct()
         for t in tested:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -202,8 +204,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "n_shingles", "h1", "h2", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _across(rows: DataFrame, sig: DataFrame) -> DataFrame:
-    """The pairs (a, b) in one bucket but different components whose signatures agree in at least ESTIMATE of the slots.
+def short_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(rep, shingles): the sorted set of each text, a shingle in 4 bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch.column(1), space_words(), lower=True, limit=1 << 20):
+                row, h = shingle_sets(c, k)
+                at = np.searchsorted(row, np.arange(c.rows + 1))
+                low = (h & np.uint64(0xFFFFFFFF)).astype("<u4")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array([np.unique(low[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["rep", "shingles"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, shingles binary")
+
+
+def _across(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) in one bucket but different components that may be links, hardly any of them not.
+
+    Signatures have to agree in at least ESTIMATE of the slots, then the sets of short shingle hashes nearly have to reach the threshold.
 
     Members of a bucket's largest component needn't meet one another, so the members of the others ("few") meet all of
     the bucket: a grid of cells of at most BLOCK by BLOCK members, each compared as one matrix of signature bytes. A pair counts in the first band it shares only.
@@ -211,16 +229,17 @@ def _across(rows: DataFrame, sig: DataFrame) -> DataFrame:
     by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     largest = by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
     grid = largest.select("key", F.col("m.comp").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("few_blocks"), F.ceil(F.col("all") / BLOCK).cast("int").alias("all_blocks"))
-    placed = rows.join(grid, "key").join(sig, "rep")
+    placed = rows.join(grid, "key").join(sketches, "rep")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    few = placed.where("comp != main").select("key", "band", own("few_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("few"), "rep", "comp", "sig")
-    every = placed.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1)).alias("i"), own("all_blocks").alias("j"), F.lit(False).alias("few"), "rep", "comp", "sig")
+    few = placed.where("comp != main").select("key", "band", own("few_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("few"), "rep", "comp", "sig", "shingles")
+    every = placed.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1)).alias("i"), own("all_blocks").alias("j"), F.lit(False).alias("few"), "rep", "comp", "sig", "shingles")
     cells = few.union(every).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def cell(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         is_few = rows["few"].to_numpy()
         rep, comp, band = rows["rep"].to_numpy(), rows["comp"].to_numpy(), int(rows["band"][0].as_py())
         s = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, SLOTS)
+        sets = [np.frombuffer(x, "<u4") for x in rows["shingles"].to_pylist()]
         f, e = np.flatnonzero(is_few), np.flatnonzero(~is_few)
         a, b = [], []
         for k in range(0, len(f), 32):
@@ -231,8 +250,10 @@ def _across(rows: DataFrame, sig: DataFrame) -> DataFrame:
                 near = (same.sum(axis=2) >= ESTIMATE * SLOTS) & (comp[part][:, None] != comp[other][None, :])
                 x, y = np.nonzero(near)
                 earlier = same[x, y, : band * ROWS].reshape(len(x), band, ROWS).all(axis=2).any(axis=1)
-                a.append(rep[part[x[~earlier]]])
-                b.append(rep[other[y[~earlier]]])
+                x, y = part[x[~earlier]], other[y[~earlier]]
+                ok = _overlap(sets, x, y) * 100 >= percent - 1
+                a.append(rep[x[ok]])
+                b.append(rep[y[ok]])
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
         return np.minimum(a, b), np.maximum(a, b)
 
@@ -257,6 +278,20 @@ def _across(rows: DataFrame, sig: DataFrame) -> DataFrame:
     return cells.mapInArrow(run, "a long, b long")
 
 
+def _overlap(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The Jaccard similarity of sets x[i] and y[i]; x in order."""
+    out = np.zeros(len(x))
+    bounds = np.r_[0, np.flatnonzero(x[1:] != x[:-1]) + 1, len(x)] if len(x) else []
+    for i, j in zip(bounds[:-1], bounds[1:]):
+        one, others = sets[x[i]], [sets[v] for v in y[i:j]]
+        size = np.array([len(o) for o in others])
+        flat = np.concatenate(others)
+        at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+        both = np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(size) - size)
+        out[i:j] = both / (len(one) + size - both)
+    return out
+
+
 def _and_none(items: Iterator) -> Iterator:
     yield from items
     yield None
