@@ -73,7 +73,9 @@ def fit(sample: Iterable[tuple[str, bool]]) -> np.ndarray:
 
 def default_model(docs: DataFrame) -> np.ndarray:
     """Fitted on words of SAMPLE_DOCS documents drawn by a hash of their text."""
-    rows = docs.where("text IS NOT NULL").select(F.substring("text", 1, 20_000).alias("text")).orderBy(F.xxhash64(F.lit(9), "text"), "text").limit(SAMPLE_DOCS).collect()
+    h = F.xxhash64(F.lit(9), "text")
+    drawn = [r[0] for r in docs.where("text IS NOT NULL").select(h.alias("h")).distinct().orderBy("h").limit(SAMPLE_DOCS).collect()]
+    rows = docs.where(h.isin(drawn)).groupBy(h.alias("h")).agg(F.substring(F.min("text"), 1, 20_000).alias("text")).orderBy("h").select("text").collect()
     words: list[str] = []
     for (text,) in rows:
         found = re.findall(r"[A-Za-z0-9]+", ASSIGN.sub(b" ", ACCESS.sub(b" ", text.encode())).decode())
