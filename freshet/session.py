@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Settings that decide results. All can be set on a running session.
@@ -19,6 +23,20 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the executors' Python workers this package, wherever they run. Done once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        package = Path(__file__).parent
+        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="freshet-")) / package.name), "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+    return configure(spark)
+
+
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     return configure(
