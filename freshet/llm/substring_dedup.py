@@ -8,8 +8,9 @@ documents with an anchor, so a window is estimated repeated wherever it could be
 number of words, so a block's load, and the share of false alarms, stay the same at every size; blocks are
 joined to the anchors by a shuffle, none is broadcast.
 
-Second pass: only windows whose anchor's estimate is two documents or more are hashed (128 bits) and exactly grouped to the least
-doc_id they start in; a window is repeated if that is smaller than its own document. No repeated window is lost.
+Second pass: only windows whose anchor's estimate is two documents or more are hashed (128 bits) and exactly grouped with the least
+doc_id they start in; a window is repeated if that is smaller than its own document. No repeated window is lost. Later copies of a
+whole text need no windows: all their words go if they fill one.
 
 Defined cases: null text has no words; documents shorter than a window keep all; a null doc_id is neither earlier nor
 later than any and keeps all; rows with equal doc_id don't repeat each other, and equal rows get equal results.
@@ -147,8 +148,8 @@ def repeated_anchors(docs: DataFrame, sketches: DataFrame, blocks: int, window:
     return listed.join(sketches, "block").select("ids", "anchors", "sketch").mapInArrow(look_up, "doc_id long, anchor long")
 
 
-def candidate_windows(candidates: DataFrame, window: int, gram: int) -> DataFrame:
-    """(w1, w2, doc_id, at): the windows of (doc_id, text, anchors) whose anchor is listed, as 128-bit hashes with their first word."""
+def candidate_runs(candidates: DataFrame, window: int, gram: int) -> DataFrame:
+    """(anchor, doc_id, at, hashes): runs of neighbouring windows of (doc_id, text, anchors) that share a listed anchor, each window as 16 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,22 +158,54 @@ def candidate_windows(candidates: DataFrame, window: int, gram: int) -> DataFram
             for c in chunks(batch.column(1), space_words()):
                 start, anchor = window_anchors(c, window, gram)
                 row = c.doc_of_word()[start]
-                _, w1 = ngrams(c, window, 0)
-                _, w2 = ngrams(c, window, 1)
-                chosen = np.zeros(len(start), bool)
                 edges = np.searchsorted(row, np.arange(c.rows + 1))
+                chosen = np.zeros(len(start), bool)
                 for i in range(c.rows):
                     a, b = edges[i], edges[i + 1]
                     if a < b:
                         chosen[a:b] = np.isin(anchor[a:b], lists[c.first + i].values.to_numpy().view(np.uint64))
-                if chosen.any():
-                    row, start = row[chosen], start[chosen]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(w1[chosen].view(np.int64)), pa.array(w2[chosen].view(np.int64)), pa.array(ids[c.first + row]), pa.array((start - c.word_at[row]).astype(np.int32))],
-                        names=["w1", "w2", "doc_id", "at"],
-                    )
+                if not chosen.any():
+                    continue
+                hashes = np.stack([ngrams(c, window, i)[1][chosen] for i in (0, 1)], 1).tobytes()
+                row, start, anchor = row[chosen], start[chosen], anchor[chosen]
+                new = np.ones(len(row), bool)
+                new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+                first = np.flatnonzero(new)
+                bounds = [*(16 * first).tolist(), len(hashes)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(anchor[first].view(np.int64)),
+                        pa.array(ids[c.first + row[first]]),
+                        pa.array((start - c.word_at[row])[first].astype(np.int32)),
+                        pa.array([hashes[x:y] for x, y in zip(bounds[:-1], bounds[1:])], pa.binary()),
+                    ],
+                    names=["anchor", "doc_id", "at", "hashes"],
+                )
+
+    return candidates.select("doc_id", "text", "anchors").mapInArrow(run, "anchor long, doc_id long, at int, hashes binary")
+
+
+def repeated_windows(runs: DataFrame) -> DataFrame:
+    """(doc_id, at): the windows whose words start in an earlier document too.
+
+    Equal windows have equal anchors, so runs are dealt by anchor and read in order of doc_id. What is kept of an anchor are its different windows with
+    the first document of each; copies, however many, pass by.
+    """
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchor, seen = None, {}
+        for batch in batches:
+            docs, starts = [], []
+            for a, doc, at, raw in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                if a != anchor:
+                    anchor, seen = a, {}
+                for k in range(0, len(raw), 16):
+                    if seen.setdefault(raw[k : k + 16], doc) < doc:
+                        docs.append(doc)
+                        starts.append(at + k // 16)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int32())], names=["doc_id", "at"])
 
-    return candidates.select("doc_id", "text", "anchors").mapInArrow(run, "w1 long, w2 long, doc_id long, at int")
+    return runs.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(group, "doc_id long, at int")
 
 
 def _keeps(c: Chunk, row: int, starts: np.ndarray | None, window: int) -> np.ndarray:
@@ -211,29 +244,35 @@ def _result(texts: DataFrame, window: int, starts: bool, with_text: bool) -> Dat
                     names.append("kept_text")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = f"doc_id {id_type}, text_key long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    schema = f"doc_id {id_type}, text_key binary, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return texts.select("doc_id", "text", "text_key", *(["starts"] if starts else [])).mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, and with ``with_text`` the kept words as ``kept_text``."""
     gram = min(gram, window)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"))
     known = keyed.where("doc_id IS NOT NULL").select("doc_id", "text")
-    words = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # bytes; a word has six or so
-    blocks = max(1, int(words / 6 * 2 / (window - gram + 2) / LOAD))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # bytes; a word has six or so
+    blocks = max(1, int(size / 6 * 2 / (window - gram + 2) / LOAD))
+    # Every window of a text is repeated in its later copies: they are settled by their keys.
+    ids = keyed.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text_key")
+    firsts = ids.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
+    copies = written(ids.join(firsts, "text_key").where("doc_id > first_id").select("doc_id", "text_key").distinct(), "copies")
     sketches = merged_sketches(partition_sketches(known, blocks, window, gram))
     hits = repeated_anchors(known, sketches, blocks, window, gram).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    candidates = written(keyed.join(hits, "doc_id"), "candidates")
-    windows = written(candidate_windows(candidates.select("doc_id", "text", "anchors").distinct(), window, gram), "windows")
-    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w1", "w2", "first")
-    starts = windows.join(first, ["w1", "w2"]).where("first < doc_id").groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
-    changed = _result(candidates.select("doc_id", "text", "text_key").join(starts, "doc_id"), window, True, with_text)
-    changed = changed.where("n_removed > 0").distinct()
-    new = changed.select("doc_id", "text_key", *[F.col(c).alias(f"new_{c}") for c in changed.columns[3:]])
+    hits = hits.join(copies.groupBy("doc_id").agg(F.collect_set("text_key").alias("copy_keys")), "doc_id", "left")
+    own = F.coalesce(~F.array_contains("copy_keys", F.col("text_key")), F.lit(True))
+    candidates = written(keyed.join(hits, "doc_id").where(own).select("doc_id", "text", "text_key", "anchors").distinct(), "candidates")
+    starts = repeated_windows(candidate_runs(candidates, window, gram)).groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+    changed = _result(candidates.select("doc_id", "text", "text_key").join(starts, "doc_id"), window, True, with_text).where("n_removed > 0")
     plain = _result(keyed, window, False, with_text)
+    names = plain.columns[3:]
+    empty = {"n_removed": F.lit(-1).cast("long"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "kept_text": F.lit("")}
+    new = changed.select("doc_id", "text_key", *names).union(copies.select("doc_id", "text_key", *[empty[n] for n in names])).toDF("doc_id", "text_key", *[f"new_{n}" for n in names])
     out = plain.join(new, ["doc_id", "text_key"], "left")
-    merged = [F.coalesce(f"new_{c}", c).alias(c) for c in plain.columns[3:]]
+    use = F.col("new_n_removed").isNotNull() & ((F.col("new_n_removed") >= 0) | (F.col("n_words") >= window))
+    merged = [F.when(use, F.when(F.col("new_n_removed") < 0, F.col("n_words")).otherwise(F.col("new_n_removed")) if n == "n_removed" else F.col(f"new_{n}")).otherwise(F.col(n)).alias(n) for n in names]
     return out.select("doc_id", "n_words", *merged)
 
 
