@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm._stage import table
+from freshet.llm._stage import lean, table
 
 NONE = np.int64(1 << 40)
 #: Distinct pieces remembered by a Python worker; beyond it the memory starts anew (results don't change).
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -100,7 +100,7 @@ class Encoder:
             elif piece:
                 groups.setdefault(max(1, (len(piece) - 1).bit_length()), []).append(i)
         for level, members in groups.items():
-            step = max(1, (1 << 19) >> level)  # bounds the stacked arrays
+            step = max(1, (1 << 17) >> level)  # bounds the stacked arrays
             for k in range(0, len(members), step):
                 part = members[k : k + step]
                 for i, ids in zip(part, self._merge([pieces[i] for i in part], level)):
@@ -235,7 +235,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *[a.split()[0] for a in added.split(", ")]])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in plain.select(*kept).schema], added])
-    out = plain.mapInArrow(run, schema)
+    out = plain.mapInArrow(lean(run), schema)
     back = dict(zip(names, docs.columns))
     return out.select(*[F.col(c).alias(back.get(c, ids if c == "token_ids" else c)) for c in out.columns])
 
@@ -256,7 +256,7 @@ def decode(tokens: DataFrame, path: str | None = None, ids: str = "token_ids", t
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = ", ".join(f"`{f.name}` {'string' if i == at else f.dataType.simpleString()}" for i, f in enumerate(plain.schema))
-    return plain.mapInArrow(run, schema).toDF(*[text if i == at else c for i, c in enumerate(tokens.columns)])
+    return plain.mapInArrow(lean(run), schema).toDF(*[text if i == at else c for i, c in enumerate(tokens.columns)])
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm._stage import table, written
+from freshet.llm._stage import lean, table, written
 from freshet.llm._words import Chunk, alnum_words, chunks
 
 #: Text of one segment and of one block of benchmark items, in bytes.
@@ -114,7 +114,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, gap: int) -> DataFrame:
                     names=["doc_ids", "n_words", "base", "lists", "positions"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_ids array<{id_type}>, n_words array<long>, base array<long>, lists binary, positions binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_ids array<{id_type}>, n_words array<long>, base array<long>, lists binary, positions binary")
 
 
 def search_segment(w: Windows, lists: np.ndarray, positions: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,7 +205,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int =
                         names=["doc_id", "n_words", "runs", "items", "near_items"],
                     )
 
-        parts.append(index.mapInArrow(run, f"doc_id {id_type}, n_words long, runs array<long>, items array<string>, near_items array<string>"))
+        parts.append(index.mapInArrow(lean(run), f"doc_id {id_type}, n_words long, runs array<long>, items array<string>, near_items array<string>"))
     out = parts[0]
     if len(parts) > 1:  # a document has a row for each block of items; rows of a repeated doc_id hold equal id and count
         for p in parts[1:]:
@@ -238,7 +238,7 @@ def digest(found: DataFrame) -> DataFrame:
             )
 
     id_type = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(run, f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long")
+    return found.mapInArrow(lean(run), f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long")
 
 
 def _covered(runs: list[int]) -> int:
@@ -270,5 +270,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> D
                     keep[c.first + np.searchsorted(base, start, "right") - 1] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(lean(run), out.schema)
     return out.toDF(*docs.columns)

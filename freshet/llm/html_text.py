@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm._stage import table
+from freshet.llm._stage import lean, table
 
 # Frequent function words of the languages served.
 STOP_WORDS = frozenset(
@@ -192,7 +192,7 @@ def extract(pages: DataFrame, source: str = "html", text: str = "text") -> DataF
 
     plain = pages.toDF(*names)
     schema = ", ".join(f"`{f.name}` {'string' if i == at else f.dataType.simpleString()}" for i, f in enumerate(plain.schema))
-    return plain.mapInArrow(run, schema).toDF(*[text if i == at else c for i, c in enumerate(pages.columns)])
+    return plain.mapInArrow(lean(run), schema).toDF(*[text if i == at else c for i, c in enumerate(pages.columns)])
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm._stage import dropped, table, written
+from freshet.llm._stage import dropped, lean, table, written
 from freshet.llm._words import Chunk, chunks, mix, ngrams, space_words
 from freshet.llm.components import components
 
@@ -129,7 +129,7 @@ def fingerprints(docs: DataFrame, k: int, signatures: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = f"doc_id {id_type}, n_shingles long, h1 long, h2 long" + (", bands array<long>, sig binary" if signatures else "")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -159,7 +159,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
                 ok = pa.array(100 * both >= percent * (size_a + size_b - both))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
-    return with_b.mapInArrow(run, "a long, b long").distinct()
+    return with_b.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -215,7 +215,7 @@ def short_sets(texts: DataFrame, k: int) -> DataFrame:
                 low = (h & np.uint64(0xFFFFFFFF)).astype("<u4")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.rows), pa.array([np.unique(low[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["rep", "shingles"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "rep long, shingles binary")
+    return texts.select("doc_id", "text").mapInArrow(lean(run), "rep long, shingles binary")
 
 
 def _across(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -275,7 +275,7 @@ def _across(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1)], names=["a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long")
+    return cells.mapInArrow(lean(run), "a long, b long")
 
 
 def _overlap(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm._stage import table
+from freshet.llm._stage import lean, table
 from freshet.llm._words import buffers, row_chunks
 
 KINDS = ("assign", "access", "hex", "markov")
@@ -153,7 +153,7 @@ def scan(docs: DataFrame, model: np.ndarray | None = None, key: str = "doc_id",
                     out.append([{"kind": KINDS[k], "first": int(points[base + a] - zero), "last": int(points[base + b] - zero)} for a, k, b in spans])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(out, span_type)], names=["key", "spans"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {id_type}, spans array<struct<kind: string, first: long, last: long>>").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(run), f"key {id_type}, spans array<struct<kind: string, first: long, last: long>>").withColumnRenamed("key", key)
 
 
 def redacted(docs: DataFrame, model: np.ndarray | None = None, mark: str = "[SECRET]") -> DataFrame:
@@ -178,7 +178,7 @@ def redacted(docs: DataFrame, model: np.ndarray | None = None, mark: str = "[SEC
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names=names)
 
     plain = docs.toDF(*names)
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*docs.columns)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,4 +200,4 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
             )
 
-    return found.mapInArrow(run, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return found.mapInArrow(lean(run), f"doc_id {id_type}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm._stage import table, written
+from freshet.llm._stage import lean, table, written
 from freshet.llm._words import Chunk, chunks, joined, mix, ngrams, sliding_min, space_words
 
 WINDOW, GRAM = 50, 12
@@ -91,7 +91,7 @@ def partition_sketches(docs: DataFrame, blocks: int, window: int, gram: int) ->
             bounds = _runs(block)
             yield pa.RecordBatch.from_arrays([pa.array(block[bounds[:-1]]), pa.array([cells[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["block", "cells"])
 
-    return docs.mapInArrow(run, "block int, cells binary")
+    return docs.mapInArrow(lean(run), "block int, cells binary")
 
 
 def merged_sketches(parts: DataFrame) -> DataFrame:
@@ -144,8 +144,8 @@ def repeated_anchors(docs: DataFrame, sketches: DataFrame, blocks: int, window:
                 if hit.any():
                     yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(anchors[hit].view(np.int64))], names=["doc_id", "anchor"])
 
-    listed = docs.mapInArrow(list_, "block int, ids binary, anchors binary")
-    return listed.join(sketches, "block").select("ids", "anchors", "sketch").mapInArrow(look_up, "doc_id long, anchor long")
+    listed = docs.mapInArrow(lean(list_), "block int, ids binary, anchors binary")
+    return listed.join(sketches, "block").select("ids", "anchors", "sketch").mapInArrow(lean(look_up), "doc_id long, anchor long")
 
 
 def candidate_runs(candidates: DataFrame, window: int, gram: int) -> DataFrame:
@@ -182,7 +182,7 @@ def candidate_runs(candidates: DataFrame, window: int, gram: int) -> DataFrame:
                     names=["anchor", "doc_id", "at", "hashes"],
                 )
 
-    return candidates.select("doc_id", "text", "anchors").mapInArrow(run, "anchor long, doc_id long, at int, hashes binary")
+    return candidates.select("doc_id", "text", "anchors").mapInArrow(lean(run), "anchor long, doc_id long, at int, hashes binary")
 
 
 def repeated_windows(runs: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def repeated_windows(runs: DataFrame) -> DataFrame:
                         starts.append(at + k // 16)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int32())], names=["doc_id", "at"])
 
-    return runs.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(group, "doc_id long, at int")
+    return runs.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(lean(group), "doc_id long, at int")
 
 
 def _keeps(c: Chunk, row: int, starts: np.ndarray | None, window: int) -> np.ndarray:
@@ -245,7 +245,7 @@ def _result(texts: DataFrame, window: int, starts: bool, with_text: bool) -> Dat
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = f"doc_id {id_type}, text_key binary, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return texts.select("doc_id", "text", "text_key", *(["starts"] if starts else [])).mapInArrow(run, schema)
+    return texts.select("doc_id", "text", "text_key", *(["starts"] if starts else [])).mapInArrow(lean(run), schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:

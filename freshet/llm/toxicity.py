@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm._stage import table
+from freshet.llm._stage import lean, table
 from freshet.llm._words import Chunk, alnum_words, chunks, hash_spans
 
 DOCS_PER_CLASS = 8000
@@ -117,7 +117,7 @@ def _words_of(rows: DataFrame) -> DataFrame:
                 n = np.bincount(of, minlength=len(key)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*[pa.array(units[first, i].view(np.int64)) for i in range(units.shape[1])], pa.array(t), pa.array(n - t)], names=["w", "s6", "s5", "s4", "toxic", "ordinary"])
 
-    split = rows.mapInArrow(run, "w long, s6 long, s5 long, s4 long, toxic long, ordinary long")
+    split = rows.mapInArrow(lean(run), "w long, s6 long, s5 long, s4 long, toxic long, ordinary long")
     return split.groupBy("w", "s6", "s5", "s4").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
@@ -205,7 +205,7 @@ def _features(rows: DataFrame, model: Model) -> DataFrame:
                 f = model.features(c)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(c.first, c.rows), pa.array(list(f), pa.list_(pa.float64()))], names=["toxic", "features"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "toxic int, features array<double>")
+    return rows.select("text", "toxic").mapInArrow(lean(run), "toxic int, features array<double>")
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -224,7 +224,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*names, "toxic_score"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema], "toxic_score double"])
-    return plain.mapInArrow(run, schema).toDF(*docs.columns, "toxic_score")
+    return plain.mapInArrow(lean(run), schema).toDF(*docs.columns, "toxic_score")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
