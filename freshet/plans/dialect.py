@@ -150,7 +150,8 @@ def _asof(nodes: list[Node], at: int) -> list[Node]:
     match = next(i for i, n in enumerate(nodes) if n.is_("MATCH_CONDITION"))
     on = next(i for i, n in enumerate(nodes) if n.is_("ON") and i > match)
     right, b = _table_and_alias(nodes[at + 2 : match])
-    ge = split(nodes[match + 1].body, ">=")
+    condition = nodes[match + 1].body if isinstance(nodes[match + 1], Group) else nodes[match + 1 : on]
+    ge = split(condition, ">=")
     if len(ge) != 2:
         raise ValueError("an as-of join needs a >= condition")
     own = lambda part, alias: bool(part) and isinstance(part[0], Token) and part[0].text.lower() == alias.lower()
@@ -291,6 +292,12 @@ def _call(name: Token, group: Group, now: str | None) -> str:
         return f"(SELECT map_from_entries(collect_list(struct(k, v))) FROM (SELECT k, max(v) AS v FROM ({inner}) AS t(k, v) GROUP BY k))"
     if word == "TABLE" and (windowed := _window_function(body, now)):
         return windowed
+    if word in ("TUMBLE", "TUMBLE_START", "TUMBLE_END", "HOP", "HOP_START", "HOP_END") and len(split(body)) > 1:
+        args = split(body)
+        steps = [_interval_string(a) for a in args[1:]]
+        size = steps[-1] if word.startswith("HOP") else steps[0]
+        window = f"window({_expr(args[0], now)}, '{size}', '{steps[0]}')"
+        return window + {"START": ".start", "END": ".end"}.get(word.partition("_")[2], "")
     if word == "UNNEST":
         args = split(body)
         return f"{'explode' if len(args) == 1 else 'inline'}({_expr(args[0], now) if len(args) == 1 else 'arrays_zip(' + ', '.join(_expr(a, now) for a in args) + ')'})"

@@ -9,7 +9,7 @@ _TOKEN = re.compile(
     r"""(?P<space>\s+|--[^\n]*|/\*.*?\*/)
     |(?P<string>'(?:[^']|'')*')
     |(?P<quoted>"(?:[^"]|"")*"|`[^`]*`)
-    |(?P<number>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)
+    |(?P<number>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?:BD|[DLSYF])?(?!\w))
     |(?P<name>[^\W\d]\w*)
     |(?P<op><=>|<>|!=|<=|>=|\|\||::|=>|->|[-+*/%<>=.,;:&|^~?@!{}])
     |(?P<open>[(\[])
