@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -166,12 +167,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def joined(c: Chunk, row: int, keep: np.ndarray | None = None) -> bytes:
-    """The (kept) words of one row, joined by a space."""
-    a, b = c.word_at[row], c.word_at[row + 1]
-    raw = c.data.tobytes() if c.rows == 1 else c.data[c.doc_at[row] : c.doc_at[row + 1]].tobytes()
-    base = 0 if c.rows == 1 else c.doc_at[row]
-    s, e = (c.start[a:b] - base).tolist(), (c.end[a:b] - base).tolist()
-    if keep is None:
-        return b" ".join([raw[x:y] for x, y in zip(s, e)])
-    return b" ".join([raw[x:y] for x, y, k in zip(s, e, keep.tolist()) if k])
+def joined(raw: bytes, keep: np.ndarray | None = None) -> bytes:
+    """The (kept) words of a text, joined by a space; bytes.split parts at exactly what space_words() leaves out."""
+    words = raw.split()
+    return b" ".join(words if keep is None else compress(words, keep.tolist()))

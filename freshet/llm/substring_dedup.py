@@ -31,7 +31,9 @@ from freshet.llm._words import Chunk, chunks, joined, mix, ngrams, sliding_min,
 
 WINDOW, GRAM = 50, 12
 #: A block's sketch: DEPTH rows of CELLS counters that stop at 2. With LOAD anchors a block, a lone anchor is taken for a repeated one in about 0.2 % of cases.
-DEPTH, CELLS, LOAD = 3, 1 << 14, 1 << 11
+DEPTH, CELLS, LOAD = 3, 1 << 16, 1 << 13
+#: Anchors that a task gathers before it deals them to blocks.
+GATHER = 1 << 18
 
 
 def _cells(anchors: np.ndarray) -> np.ndarray:
@@ -71,6 +73,22 @@ def _doc_anchors(c: Chunk, window: int, gram: int) -> tuple[np.ndarray, np.ndarr
     return row[new], anchor[new]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, anchors) of batches of (doc_id, text), about GATHER at a time."""
+    ids, anchors, n = [], [], 0
+    for batch in batches:
+        for c in chunks(batch.column(1), space_words()):
+            row, anchor = _doc_anchors(c, window, gram)
+            ids.append(batch.column(0).slice(c.first, c.rows).to_numpy()[row])
+            anchors.append(anchor)
+            n += len(row)
+            if n >= GATHER:
+                yield np.concatenate(ids), np.concatenate(anchors)
+                ids, anchors, n = [], [], 0
+    if n:
+        yield np.concatenate(ids), np.concatenate(anchors)
+
+
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     """Bounds of the runs of equal keys."""
     return np.r_[0, np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, len(sorted_keys)]
@@ -80,11 +98,7 @@ def partition_sketches(docs: DataFrame, blocks: int, window: int, gram: int) ->
     """Per partition and block: the cells hit, a short list of them per anchor rather than a mostly empty table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gathered = [_doc_anchors(c, window, gram)[1] for c in chunks(batch.column(1), space_words())]
-            anchors = np.concatenate(gathered) if gathered else np.zeros(0, np.uint64)
-            if not len(anchors):
-                continue
+        for _, anchors in _gathered(batches, window, gram):
             block = _block(anchors, blocks)
             order = np.argsort(block, kind="stable")
             block, cells = block[order], _cells(anchors)[order]
@@ -113,24 +127,19 @@ def repeated_anchors(docs: DataFrame, sketches: DataFrame, blocks: int, window:
     """(doc_id, anchors): those anchors of each document that are estimated to be in two documents or more."""
 
     def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in chunks(batch.column(1), space_words()):
-                row, anchor = _doc_anchors(c, window, gram)
-                if not len(row):
-                    continue
-                block = _block(anchor, blocks)
-                order = np.lexsort((row, block))
-                row, anchor, block = row[order], anchor[order], block[order]
-                bounds = _runs(block)
-                ids = batch.column(0).slice(c.first, c.rows).to_numpy()[row].astype("<i8")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(block[bounds[:-1]]),
-                        pa.array([ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()),
-                        pa.array([anchor[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()),
-                    ],
-                    names=["block", "ids", "anchors"],
-                )
+        for ids, anchor in _gathered(batches, window, gram):
+            block = _block(anchor, blocks)
+            order = np.argsort(block, kind="stable")
+            ids, anchor, block = ids[order].astype("<i8"), anchor[order], block[order]
+            bounds = _runs(block)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(block[bounds[:-1]]),
+                    pa.array([ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()),
+                    pa.array([anchor[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()),
+                ],
+                names=["block", "ids", "anchors"],
+            )
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,11 +237,12 @@ def _result(texts: DataFrame, window: int, starts: bool, with_text: bool) -> Dat
             lists = batch.column(3) if starts else None
             for c in chunks(batch.column(1), space_words()):
                 removed, digest, kept = [], [], []
+                raw = c.data.tobytes()
                 for r in range(c.rows):
                     keep = None
                     if lists is not None and lists[c.first + r].is_valid:
                         keep = _keeps(c, r, lists[c.first + r].values.to_numpy(), window)
-                    text = joined(c, r, keep)
+                    text = joined(raw[c.doc_at[r] : c.doc_at[r + 1]], keep)
                     removed.append(0 if keep is None else int((~keep).sum()))
                     digest.append(hashlib.sha256(text).hexdigest())
                     if with_text:
