@@ -72,7 +72,12 @@ EACH = {"BIGINT": "bigint", "BOOLEAN": "boolean", "DATE": "date", "STRING": "str
 
 def _each(kind: str):
     def build(v: str) -> str:
-        value = f"to_time(try_variant_get(value, '$', 'string'))" if kind == "time" else f"try_variant_get(value, '$', '{kind}')"
+        if kind == "time":
+            value = "try_to_time(try_variant_get(value, '$', 'string'))"
+        elif kind == "boolean":  # a number is no boolean
+            value = "CASE WHEN schema_of_variant(value) = 'BOOLEAN' THEN try_variant_get(value, '$', 'boolean') END"
+        else:
+            value = f"try_variant_get(value, '$', '{kind}')"
         return f"(SELECT key, {value} AS value FROM variant_explode({v}))"
 
     return build

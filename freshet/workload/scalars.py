@@ -42,7 +42,7 @@ _put("", "part", "p_partkey", {
     "coalesce": ("COALESCE(nullif(p_size, 25), -1)", ""), "exists": ("EXISTS (SELECT 1 FROM region WHERE r_regionkey = p_size)", ""), "greatest": ("GREATEST(nullif(p_size, 25), 10)", "CASE WHEN p_size = 25 THEN NULL ELSE greatest(p_size, 10) END"), "greatest_ignore_nulls": ("GREATEST_IGNORE_NULLS(nullif(p_size, 25), 10)", "greatest(nullif(p_size, 25), 10)"),
     "least": ("LEAST(nullif(p_size, 25), 10)", "CASE WHEN p_size = 25 THEN NULL ELSE least(p_size, 10) END"), "least_ignore_nulls": ("LEAST_IGNORE_NULLS(nullif(p_size, 25), 10)", "least(nullif(p_size, 25), 10)"), "if": ("IF(p_size > 25, 'a', 'b')", "CASE WHEN p_size > 25 THEN 'a' ELSE 'b' END"), "ifnull": ("IFNULL(nullif(p_size, 25), 0)", ""), "in": ("p_size IN (1, 2, 3)", ""), "not_in": ("p_size NOT IN (1, 2, 3)", ""),
     "is_distinct": ("nullif(p_size, 25) IS DISTINCT FROM 10", ""), "is_not_distinct": ("nullif(p_size, 25) IS NOT DISTINCT FROM 10", ""), "is_null": ("nullif(p_size, 25) IS NULL", ""), "is_not_null": ("nullif(p_size, 25) IS NOT NULL", ""), "is_true": ("(nullif(p_size, 25) > 10) IS TRUE", ""), "is_not_true": ("(nullif(p_size, 25) > 10) IS NOT TRUE", ""), "is_false": ("(nullif(p_size, 25) > 10) IS FALSE", ""), "is_not_false": ("(nullif(p_size, 25) > 10) IS NOT FALSE", ""),
-    "is_unknown": ("(nullif(p_size, 25) > 10) IS UNKNOWN", "(nullif(p_size, 25) > 10) IS NULL"), "is_not_unknown": ("(nullif(p_size, 25) > 10) IS NOT UNKNOWN", "(nullif(p_size, 25) > 10) IS NOT NULL"), "nullif": ("NULLIF(p_size, 25)", ""), "row": ("ROW(p_size, p_brand).col2", "p_brand"), "field": ("named_struct('x', p_size).x", "p_size"),
+    "is_unknown": ("(nullif(p_size, 25) > 10) IS UNKNOWN", "(nullif(p_size, 25) > 10) IS NULL"), "is_not_unknown": ("(nullif(p_size, 25) > 10) IS NOT UNKNOWN", "(nullif(p_size, 25) > 10) IS NOT NULL"), "nullif": ("NULLIF(p_size, 25)", ""), "row": ("ROW(p_size, p_brand).p_brand", "p_brand"), "field": ("named_struct('x', p_size).x", "p_size"),
     "uuid": ("UUID(md5(p_name))", "CAST(CAST(md5(p_name) AS UUID) AS VARCHAR)"), "st_distance": ("round(ST_DISTANCE(ST_POINT(p_size, 0), ST_POINT(0, p_retailprice)), 6)", "round(sqrt(p_size * p_size + p_retailprice * p_retailprice), 6)"),
     # binaries
     "bin2utf8": ("BIN2UTF8(cast(p_name AS binary))", "p_name"), "octet_length": ("OCTET_LENGTH(p_name)", "CAST(strlen(p_name) AS INTEGER)"), "to_hex": ("TO_HEX(cast(p_name AS binary))", "lower(hex(p_name))"), "to_int": ("TO_INT(unhex(lpad(hex(p_size), 8, '0')))", "p_size"), "gunzip": ("CAST(GUNZIP(unhex('1f8b08000000000002ffcb48cdc9c9070086a6103605000000')) AS VARCHAR)", "'hello'"), "binary_concat": ("hex(cast(p_brand AS binary) || cast('x' AS binary))", "hex(p_brand || 'x')"), "binary_substring": ("hex(substring(cast(p_brand AS binary), 2, 3))", "hex(p_brand[2:4])"), "binary_left": ("hex(LEFT(cast(p_brand AS binary), 3))", "hex(p_brand[1:3])"), "binary_md5": ("MD5(cast(p_brand AS binary))", "md5(p_brand)"),
