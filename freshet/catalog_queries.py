@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from freshet.workload import relational, scalars
+from freshet.workload import nexmark, relational, scalars, timeseries
 from freshet.workload.base import Query
 
-MODULES = [relational, scalars]
+MODULES = [relational, scalars, timeseries, nexmark]
 
 
 def queries() -> dict[str, Query]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from freshet.plans.lexer import Group, Node, Token, literal, split, tokens, tree
@@ -55,8 +56,11 @@ def identifier(n: Node) -> str:
     return n.text[1:-1] if n.kind == "quoted" else n.text.lower()
 
 
-def statements(sql: str) -> list[Statement]:
-    return [_statement(part) for part in split(tree(sql), ";") if part]
+def statements(sql: str) -> Iterator[Statement]:
+    """One after the other, so that a type is known to the statements after it."""
+    for part in split(tree(sql), ";"):
+        if part:
+            yield _statement(part)
 
 
 def _statement(nodes: list[Node]) -> Statement:

@@ -31,7 +31,7 @@ from freshet.streaming import zset
 from freshet.streaming.state import StateLog
 from freshet.streaming.zset import W
 
-LINEAR = {"Project", "Filter", "SubqueryAlias", "View", "Union", "Join", "LogicalRDD", "LogicalRelation", "LocalRelation", "Range", "Generate", "ResolvedHint", "Aggregate_"}
+LINEAR = {"Project", "Filter", "SubqueryAlias", "View", "Union", "Join", "LogicalRDD", "LogicalRelation", "LocalRelation", "Range", "Generate", "ResolvedHint"}
 ERROR_COLUMNS = "table_or_view_name string, message string, metadata string"
 
 
@@ -147,6 +147,10 @@ class Program:
         for u, t in bound.items():
             self._bind(u, t)
         plan = df._jdf.queryExecution().analyzed()
+        nodes = self._nodes(plan)
+        names = [p.alias().lower() for p in nodes if p.nodeName() == "SubqueryAlias"]
+        if any(names.count(u.lower()) > 1 for u in v.uses) and any(p.nodeName() == "Join" for p in nodes):
+            return "recompute", []  # a table joined with itself: the query isn't linear in it
         if self._linear(plan):
             return "linear", []
         keys = self._keys(plan, df.columns)
