@@ -153,7 +153,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_spans", base_spans(F.coalesce(F.col("text"), F.lit(""))))
     rows = found(docs)
     extra = term_spans(rows, disclosures(docs, rows))
-    keyed = keyed.withColumn("_key", F.when(F.size("_spans") > 0, F.md5("text")))
+    # Texts without spans match nothing; a key of their own keeps them from meeting in one task.
+    keyed = keyed.withColumn("_key", F.when(F.size("_spans") > 0, F.md5("text")).otherwise(F.hex(F.xxhash64(*[c for c in docs.columns]))))
     joined = keyed.join(extra, F.col("_key") == F.col("text_key"), "left")
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS[:4]])
     base = F.transform("_spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.get(marks, s["kind"]).alias("mark")))
@@ -179,5 +180,6 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     base = rows.select("doc_id", "text_key", *[n(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.array_join(shown, ",").alias("base"))
     terms = extra.select("text_key", F.array_join(F.transform("revealing", lambda s: F.concat_ws(":", F.lit("term"), s["first"], s["last"])), ",").alias("more"))
-    out = base.join(terms, "text_key", "left")
+    spread = F.coalesce("text_key", F.hex(F.xxhash64("doc_id")))  # texts without spans match nothing, and needn't meet in one task
+    out = base.withColumn("_key", spread).join(terms.withColumnRenamed("text_key", "_key"), "_key", "left")
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "more").alias("spans"))
