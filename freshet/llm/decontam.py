@@ -220,6 +220,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """Counts and a digest of matches(): doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hit = [_covered(r) for r in b.column(2).to_pylist()]
@@ -232,13 +234,12 @@ def digest(found: DataFrame) -> DataFrame:
                     pa.array([len(x) for x in items], pa.int64()),
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
                     pa.array([h > 0 for h in hit], pa.bool_()),
-                    pa.array([len(x) for x in b.column(4).to_pylist()], pa.int64()),
                 ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items"],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
     id_type = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(lean(run), f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long")
+    return found.mapInArrow(lean(run), f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def _covered(runs: list[int]) -> int:

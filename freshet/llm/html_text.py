@@ -4,7 +4,7 @@ A page is cut into blocks at block-level tags. Pass one decides a block by its l
 stop words, and by where it stands: menus, page headers, footers, side bars, forms and elements named like
 adverts, notices or comments are never content, and an article element vouches for its blocks. Short blocks without
 such a sign stay undecided. In pass two each of these takes the label of the nearest decided block; if both sides
-are as near, a heading follows the block after it and other blocks need both to be content.
+are as near, a heading follows the block after it and other blocks the one before.
 
 Defined cases: null html is empty and gives empty text; unclosed and stray tags, unclosed comments and scripts are tolerated; a page
 without any content block gives empty text; repeated rows give equal results.
@@ -171,7 +171,7 @@ def classify(blocks: list[Block]) -> None:
         elif i - left != right - i:
             b.label = labels[left if i - left < right - i else right]
         else:
-            b.label = labels[right] if b.heading else False
+            b.label = labels[right if b.heading else left]
 
 
 def main_text(page: str | None) -> str:

@@ -150,25 +150,29 @@ def term_spans(rows: DataFrame, revealing: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with base spans masked by their kind, revealing terms generalised ([TERM]) or removed; n_chars follows if there."""
-    keyed = docs.withColumn("_spans", base_spans(F.coalesce(F.col("text"), F.lit(""))))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    text = F.col(names["text"])
+    keyed = docs.toDF(*names.values())
+    keyed = keyed.withColumn("_spans", base_spans(F.coalesce(text, F.lit(""))))
     rows = found(docs)
-    extra = term_spans(rows, disclosures(docs, rows))
+    extra = term_spans(rows, disclosures(docs, rows)).toDF("_key", "_revealing")
     # Texts without spans match nothing; a key of their own keeps them from meeting in one task.
-    keyed = keyed.withColumn("_key", F.when(F.size("_spans") > 0, F.md5("text")).otherwise(F.hex(F.xxhash64(*[c for c in docs.columns]))))
-    joined = keyed.join(extra, F.col("_key") == F.col("text_key"), "left")
+    keyed = keyed.withColumn("_key", F.when(F.size("_spans") > 0, F.md5(text)).otherwise(F.hex(F.xxhash64(*names.values()))))
+    joined = keyed.join(extra, "_key", "left")
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS[:4]])
     base = F.transform("_spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.get(marks, s["kind"]).alias("mark")))
-    more = F.transform(F.coalesce("revealing", F.array().cast("array<struct<first: int, last: int, removed: boolean>>")), lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.when(s["removed"], "").otherwise("[TERM]").alias("mark")))
+    more = F.transform(F.coalesce("_revealing", F.array().cast("array<struct<first: int, last: int, removed: boolean>>")), lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.when(s["removed"], "").otherwise("[TERM]").alias("mark")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.when(s["last"] <= a["at"], a).otherwise(
-        F.struct(s["last"].alias("at"), F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.greatest(s["first"] - a["at"], F.lit(0))), s["mark"]).alias("out"))
+        F.struct(s["last"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, F.greatest(s["first"] - a["at"], F.lit(0))), s["mark"]).alias("out"))
     )
-    masked = F.aggregate(F.array_sort(F.concat(base, more)), start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    text = F.when(F.size("_spans") > 0, masked).otherwise(F.col("text"))
-    cols = {"text": text}
-    if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.size("_spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return joined.select(*[cols.get(c, F.col(c)).alias(c) if c in cols else F.col(c) for c in docs.columns])
+    masked = F.aggregate(F.array_sort(F.concat(base, more)), start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    changed = F.size("_spans") > 0
+    out = joined.withColumn("_text", F.when(changed, masked).otherwise(text))
+    new = {"text": F.col("_text")}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(changed, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(names["n_chars"]))
+    return out.select(*[new.get(c, F.col(n)).alias(c) for c, n in names.items()])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

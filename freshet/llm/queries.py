@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.llm import ann, bpe, decontam, html_text, minhash, pii, secrets, sharding, substring_dedup, toxicity
+from freshet.llm import ann, bpe, decontam, html_text, minhash, oracles, pii, secrets, sharding, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": oracles.OP1, "op4_decontamination": oracles.OP4, "op10_minhash": oracles.OP10}

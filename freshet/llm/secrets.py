@@ -31,6 +31,8 @@ KINDS = ("assign", "access", "hex", "markov")
 SAMPLE_DOCS, SAMPLE_WORDS = 300, 40_000
 RANDOM_STRINGS = 6000
 LEAST_RUN, MEAN_RATIO = 20, 0.6
+#: Transitions' worth of the single-character model in each row of a Markov model.
+BACKOFF = 8.0
 
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -67,7 +69,10 @@ def fit(sample: Iterable[tuple[str, bool]]) -> np.ndarray:
         code = CODE[np.frombuffer(text.encode("ascii", "ignore"), np.uint8)]
         ok = (code[:-1] < 255) & (code[1:] < 255)
         np.add.at(counts[int(is_random)], (code[:-1][ok], code[1:][ok]), 1)
-    p = (counts + 0.5) / (counts + 0.5).sum(axis=2, keepdims=True)
+    # Rare transitions lean on how common the character is in the class at all.
+    single = counts.sum(axis=1) + 0.5
+    single /= single.sum(axis=1, keepdims=True)
+    p = (counts + BACKOFF * single[:, None, :]) / (counts.sum(axis=2, keepdims=True) + BACKOFF)
     return np.log(p[1]) - np.log(p[0])
 
 
