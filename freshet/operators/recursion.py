@@ -24,7 +24,9 @@ def saved(df: DataFrame, name: str = "round") -> DataFrame:
     """Write and reread: the lineage of a loop ends with each round."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
 
 
 Rules = dict[str, Callable[[dict[str, DataFrame], dict[str, DataFrame]], DataFrame]]

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from freshet.plans.lexer import Group, Node, Token, literal, split, tokens, tree
-from freshet.plans.types import spark_type
+from freshet.plans.types import spark_type, unsigned_limit
 
 
 @dataclass
@@ -17,6 +17,7 @@ class Column:
     key: bool = False
     lateness: str | None = None
     default: str | None = None
+    limit: int | None = None
 
 
 @dataclass
@@ -90,7 +91,7 @@ def _statement(nodes: list[Node]) -> Statement:
 def _column(nodes: list[Node]) -> Column:
     words = ("NOT", "PRIMARY", "FOREIGN", "LATENESS", "WATERMARK", "DEFAULT", "REFERENCES", "INTERNED")
     at = [i for i, n in enumerate(nodes) if i and n.is_(*words)] + [len(nodes)]
-    c = Column(identifier(nodes[0]), spark_type(nodes[1 : at[0]]))
+    c = Column(identifier(nodes[0]), spark_type(nodes[1 : at[0]]), limit=unsigned_limit(nodes[1 : at[0]]))
     for a, b in zip(at, at[1:]):
         clause = nodes[a:b]
         if clause[0].is_("NOT"):

@@ -15,6 +15,7 @@ Whatever the way, the sum of a view's changes equals its query over the current
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -44,6 +45,7 @@ class Table:
     options: dict[str, str]
     defaults: dict[str, str]
     state: StateLog
+    limits: dict[str, int] = field(default_factory=dict)
     waterline: dict[str, object] = field(default_factory=dict)
     seen: dict[str, object] = field(default_factory=dict)
 
@@ -91,7 +93,8 @@ class Program:
         schema = T.StructType([T.StructField(c.name, self.spark.createDataFrame([], f"c {c.type}").schema[0].dataType, c.nullable) for c in s.columns])
         lateness = {c.name: c.lateness for c in s.columns if c.lateness}
         defaults = {c.name: c.default for c in s.columns if c.default}
-        self.tables[s.name] = Table(s.name, schema, s.key, lateness, s.options, defaults, StateLog(self.spark, s.name, schema, s.key))
+        limits = {c.name: c.limit for c in s.columns if c.limit is not None}
+        self.tables[s.name] = Table(s.name, schema, s.key, lateness, s.options, defaults, StateLog(self.spark, s.name, schema, s.key), limits)
         self._bind(s.name, self.tables[s.name].state.relation())
 
     def _create_view(self, s: ddl.Statement) -> None:
@@ -205,6 +208,8 @@ class Program:
 
     def push(self, table: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None, change: DataFrame | None = None) -> None:
         """Queue changes of a table for the next step: inserted and deleted rows, or a Z-set."""
+        if deletes is not None and self.tables[table].options.get("append_only") == "true":
+            raise ValueError(f"{table} only takes inserts")
         for df, w in ((inserts, 1), (deletes, -1)):
             if df is not None:
                 self.queue.setdefault(table, []).append(zset.weighted(self._shaped(table, df), w))
@@ -215,6 +220,12 @@ class Program:
 
     def _shaped(self, table: str, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         t = self.tables[table]
+        if t.options.get("append_only") == "true" and W in df.columns:
+            df = df.withColumn(W, F.when(F.col(W) > 0, F.col(W)).otherwise(F.raise_error(F.lit(f"{table} only takes inserts")).cast("long")))
+        for column, limit in t.limits.items():
+            if column in df.columns:
+                inside = F.col(column).isNull() | F.col(column).between(0, limit)
+                df = df.withColumn(column, F.when(inside, F.col(column)).otherwise(F.raise_error(F.lit(f"{column} is out of range")).cast("long")))
         cols = [
             (F.col(f"`{f.name}`") if f.name in df.columns else F.expr(translate(t.defaults[f.name])) if f.name in t.defaults else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in t.schema
@@ -229,10 +240,22 @@ class Program:
         self.open = False
         return self.step()
 
-    def listen(self, view: str, sink: Callable[[int, DataFrame], None], send_snapshot: bool = False) -> None:
-        """Call ``sink(step, change)`` with every change of a view; first with all of it, if asked."""
+    def listen(self, view: str, sink: Callable[[int, DataFrame], None], send_snapshot: bool = False, buffer_steps: int = 1) -> None:
+        """Call ``sink(step, change)`` with every change of a view, or with the sum of ``buffer_steps`` of them; first with all of it, if asked.
+
+        A step that is run again after a failure has the same number, so a sink can tell."""
         if send_snapshot:
             sink(self.steps, zset.consolidate(zset.weighted(self.spark.table(view))))
+        if buffer_steps > 1:
+            held: list[DataFrame] = []
+            direct = sink
+
+            def sink(step: int, change: DataFrame) -> None:
+                held.append(change)
+                if len(held) == buffer_steps:
+                    direct(step, zset.integrate(*held))
+                    held.clear()
+
         self.sinks.setdefault(view, []).append(sink)
 
     def step(self, now: dt.datetime | None = None) -> dict[str, DataFrame]:
@@ -393,6 +416,42 @@ class Program:
     def error_view(self) -> DataFrame:
         return self.errors
 
+    # Checkpoints
+
+    def checkpoint(self, path: str) -> None:
+        """Write what is needed to go on from here; the state itself is already in the shared folder."""
+        stamp = lambda x: {k: str(v) for k, v in x.items() if v is not None}
+        note = {
+            "steps": self.steps,
+            "now": self.now.isoformat(),
+            "tables": {n: {"segments": t.state.segments, "waterline": stamp(t.waterline), "seen": stamp(t.seen)} for n, t in self.tables.items()},
+            "views": {n: v.last.saved_path for n, v in self.views.items() if v.last is not None and hasattr(v.last, "saved_path")},
+        }
+        self.spark.createDataFrame([(json.dumps(note),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def resume(cls, spark: SparkSession, sql: str, path: str) -> Program:
+        """The program of ``sql`` in the state of a checkpoint. The last step's views are as they were; queued changes are not kept."""
+        note = json.loads(spark.read.text(path).first()[0])
+        p = cls(spark, sql, dt.datetime.fromisoformat(note["now"]))
+        p.steps = note["steps"]
+        for n, saved_table in note["tables"].items():
+            t = p.tables[n]
+            t.state.segments = saved_table["segments"]
+            kind = {f.name: f.dataType for f in t.schema}
+            for mine, theirs in ((t.waterline, saved_table["waterline"]), (t.seen, saved_table["seen"])):
+                for c, text in theirs.items():
+                    mine[c] = spark.createDataFrame([(text,)], "v string").select(F.col("v").cast(kind[c])).first()[0]
+            p._bind(n, t.state.relation())
+        for v in p.views.values():
+            if v.name in note["views"]:
+                v.last = spark.read.schema(spark.table(v.name).schema).parquet(note["views"][v.name])
+                v.last.saved_path = note["views"][v.name]
+                p._bind(v.name, v.last)
+            else:
+                p._bind(v.name, spark.sql(translate(v.query, p._now_text())))
+        return p
+
     # Streams
 
     def run(self, sources: dict[str, DataFrame], checkpoint: str, available_now: bool = True):

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.functions import udf
 from freshet.operators import aggregates, recursion, timewindows
+from freshet.plans.dialect import translate
 from freshet.sources import datagen, formats
 from freshet.streaming import zset
 from freshet.streaming.program import Program
@@ -255,6 +257,84 @@ def stream_watermark_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
 
 
+@R.query("stream_transaction", "SELECT CAST(1 AS BIGINT) AS steps, COUNT(*) AS n FROM events")
+def stream_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several pushes within a transaction are one step."""
+    (e,) = load(spark, sf_dir, "events")
+    p = Program(spark, "CREATE TABLE t (event_id BIGINT); CREATE VIEW v AS SELECT COUNT(*) AS n FROM t;")
+    p.begin()
+    for i in range(3):
+        p.push("t", e.where(F.col("event_id") % 3 == i).select("event_id"))
+    p.commit()
+    return p.snapshot("v").select(F.lit(p.steps).cast("long").alias("steps"), "n")
+
+
+@R.query("stream_error_view", "SELECT COUNT(*) AS late FROM events WHERE event_id >= 5000 AND ts < (SELECT max(ts) FROM events WHERE event_id < 5000) + INTERVAL 1 DAY")
+def stream_error_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late rows are reported; here the waterline runs a day ahead."""
+    (e,) = load(spark, sf_dir, "events")
+    p = Program(spark, "CREATE TABLE t (event_id BIGINT, ts TIMESTAMP LATENESS INTERVAL '-1' DAY); CREATE VIEW v AS SELECT event_id FROM t;")
+    for half in ("event_id < 5000", "event_id >= 5000"):
+        p.push("t", e.where(half).select("event_id", "ts"))
+        p.step()
+    return p.error_view().agg(F.count("*").alias("late"))
+
+
+@R.query("stream_checkpoint", "SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type")
+def stream_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program that stops half way and goes on from its checkpoint."""
+    (e,) = load(spark, sf_dir, "events")
+    sql = "CREATE TABLE t (event_id BIGINT, event_type VARCHAR); CREATE VIEW v AS SELECT event_type, COUNT(*) AS n FROM t GROUP BY event_type;"
+    path = f"{recursion.shared_dir(spark)}/checkpoint-{recursion.uuid.uuid4().hex}"
+    p = Program(spark, sql)
+    p.push("t", e.where("event_id < 5000").select("event_id", "event_type"))
+    p.step()
+    p.checkpoint(path)
+    q = Program.resume(spark, sql, path)
+    q.push("t", e.where("event_id >= 5000").select("event_id", "event_type"))
+    q.step()
+    return q.snapshot("v")
+
+
+@R.query("adhoc_insert", "SELECT n_regionkey AS r, COUNT(*) AS n FROM nation WHERE n_nationkey < 10 GROUP BY n_regionkey")
+def adhoc_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load(spark, sf_dir, "nation")[0].createOrReplaceTempView("nation")
+    p = Program(spark, "CREATE TABLE t (k INT, r INT); CREATE MATERIALIZED VIEW v AS SELECT r, COUNT(*) AS n FROM t GROUP BY r; INSERT INTO t (r, k) SELECT n_regionkey, n_nationkey FROM nation WHERE n_nationkey < 10;")
+    p.step()
+    return p.query("SELECT r, n FROM v")
+
+
+@R.query("udf_sql", "SELECT n_nationkey, n_nationkey * 2 + 1 AS v FROM nation")
+def udf_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load(spark, sf_dir, "nation")[0].createOrReplaceTempView("nation")
+    return Program(spark, "CREATE FUNCTION twice_plus(a INT, b INT) RETURNS INT AS a * 2 + b;").query("SELECT n_nationkey, twice_plus(n_nationkey, 1) AS v FROM nation")
+
+
+@R.query("udf_external", "SELECT n_nationkey, upper(n_name) || '!' AS v FROM nation")
+def udf_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load(spark, sf_dir, "nation")[0].createOrReplaceTempView("nation")
+    udf.create_function(spark, "shout", lambda s: s.str.upper() + "!", "string")
+    return spark.sql("SELECT n_nationkey, shout(n_name) AS v FROM nation")
+
+
+@R.query("udf_aggregate", "SELECT n_regionkey, CAST(SUM(n_nationkey * n_nationkey) AS DOUBLE) AS v FROM nation GROUP BY n_regionkey")
+def udf_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load(spark, sf_dir, "nation")[0].createOrReplaceTempView("nation")
+
+    def squares(x):
+        return float((x.astype("float64") ** 2).sum())
+
+    udf.create_aggregate(spark, "sum_of_squares", squares, "double")
+    return spark.sql("SELECT n_regionkey, sum_of_squares(n_nationkey) AS v FROM nation GROUP BY n_regionkey")
+
+
+@R.query("variant_deep_map", "SELECT event_id, CAST(props->>'k' AS BIGINT) + 1 AS v FROM events")
+def variant_deep_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load(spark, sf_dir, "events")[0].createOrReplaceTempView("events")
+    udf.register_variant(spark, "plus_one", lambda x: x + 1)
+    return spark.sql(translate("SELECT event_id, CAST(VARIANT_INDEX(VARIANT_DEEP_MAP(PARSE_JSON(props), 'plus_one'), 'k') AS BIGINT) AS v FROM events"))
+
+
 # Sources, formats, sampling
 
 

@@ -94,3 +94,33 @@ def test_types_functions_and_compaction(spark):
         p.step()
     assert len(p.tables["t"].state.segments) <= 3
     assert sorted(r[0] for r in p.snapshot("v").collect()) == [0, 2, 4, 6, 8]
+
+
+def test_append_only_and_unsigned(spark):
+    p = Program(spark, "CREATE TABLE t (a TINYINT UNSIGNED) WITH ('append_only' = 'true'); CREATE VIEW v AS SELECT a FROM t;")
+    p.push("t", values(spark, ["a"], [(255,), (None,)], ["int"]))
+    p.step()
+    with pytest.raises(ValueError, match="only takes inserts"):
+        p.push("t", deletes=values(spark, ["a"], [(1,)], ["int"]))
+    p.push("t", values(spark, ["a"], [(256,)], ["int"]))
+    with pytest.raises(Exception, match="out of range"):
+        p.step()
+
+
+def test_buffered_sink_and_resume(spark, tmp_path):
+    sql = "CREATE TABLE t (k INT, ts TIMESTAMP LATENESS INTERVAL '1' HOUR); CREATE VIEW v AS SELECT k, COUNT(*) AS n FROM t GROUP BY k;"
+    p = Program(spark, sql)
+    seen = []
+    p.listen("v", lambda step, d: seen.append((step, sorted(map(tuple, d.collect())))), buffer_steps=2)
+    rows = lambda *r: values(spark, ["k", "ts"], list(r), ["int", "timestamp_ntz"])
+    p.push("t", rows((1, dt.datetime(2024, 1, 1, 10))))
+    p.step()
+    p.push("t", rows((1, dt.datetime(2024, 1, 1, 11))))
+    p.step()
+    assert seen == [(2, [(1, 2, 1)])]
+    p.checkpoint(str(tmp_path / "c"))
+    q = Program.resume(spark, sql, str(tmp_path / "c"))
+    assert q.steps == 2 and list(map(tuple, q.snapshot("v").collect())) == [(1, 2)]
+    q.push("t", rows((1, dt.datetime(2024, 1, 1, 9)), (2, dt.datetime(2024, 1, 1, 12))))  # the first is late
+    assert sorted(map(tuple, q.step()["v"].collect())) == [(2, 1, 1)]
+    assert q.error_view().count() == 1
