@@ -34,11 +34,18 @@ STOP_WORDS = frozenset(
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER_TAGS = frozenset("nav aside footer form menu select button dialog head title fieldset label textarea figcaption".split())
+NEVER_TAGS = frozenset("nav aside footer form menu select button dialog head title fieldset label textarea".split())
 CONTENT_TAGS = frozenset("article main".split())
 RAW_TAGS = "script|style|noscript|template|svg|math|iframe|object|textarea|canvas|video|audio"
 #: Words of class, id and role that mark an element as no content.
-NEVER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay sidebar side aside widget comment comments disqus reply replies respond menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead copyright legal share sharing social related recommended newsletter subscribe subscription signup login search form toolbar skip teaser".split())
+NEVER_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay sidebar side aside widget comment comments disqus reply replies respond menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead copyright legal share sharing social related recommended newsletter subscribe subscription signup login search form toolbar skip teaser complementary contentinfo dialog alert".split())
+#: These mark with any ending (comment-list, cookiebar, ...).
+NEVER_STEMS = ("comment", "advert", "sponsor", "cookie", "sidebar", "newsletter", "navbar", "breadcrumb", "subscribe", "promo", "disqus", "footer", "popup")
+#: Beside these a word tells of a layout that has such a part, not of the part.
+LAYOUT_WORDS = frozenset("with has no layout without".split())
+#: What heads an article belongs to it.
+HEAD_WORDS = frozenset("header masthead".split())
+HIDDEN = re.compile(r"""display\s*:\s*none|\bhidden\b(?!\s*=\s*[\"']?false)""", re.I)
 
 TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)
@@ -65,11 +72,18 @@ class Block:
     label: bool | None = None
 
 
-def _names_never(rest: str) -> bool:
+def _names_never(rest: str, vouched: bool) -> bool:
+    """Whether an element's class, id or role names it as no content; ``vouched``: it stands in an article."""
     for m in NAMES.finditer(rest):
-        for word in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()):
-            if word in NEVER_WORDS:
-                return True
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+            if LAYOUT_WORDS & set(words):
+                continue
+            for word in words:
+                if word in HEAD_WORDS and vouched or word == "commentary":
+                    continue
+                if word in NEVER_WORDS or word.startswith(NEVER_STEMS):
+                    return True
     return False
 
 
@@ -112,7 +126,7 @@ def blocks_of(page: str) -> list[Block]:
                 never, vouched = (stack[-1][1], stack[-1][2]) if stack else (False, False)
                 if name in CONTENT_TAGS and not never:
                     vouched = True
-                if name in NEVER_TAGS or (name == "header" and not vouched) or (name not in ("html", "body", "article", "main") and rest.strip() and _names_never(rest)):
+                if name in NEVER_TAGS or (name == "header" and not vouched) or (name not in ("html", "body", "article", "main") and rest.strip() and (HIDDEN.search(rest) or _names_never(rest, vouched))):
                     never = True
                 if name not in VOID_TAGS and not rest.rstrip().endswith("/"):
                     stack.append((name, never, vouched))

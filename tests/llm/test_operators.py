@@ -281,6 +281,8 @@ GOOD = "the cat sat on the mat and it was a very long day for all of the people
         (None, ""), ("", ""), ("plain text only", ""), (f"<p>{GOOD}", GOOD.strip()), (f"<nav><a href=x>Home</a></nav><p>{GOOD}</p><footer>&copy; me</footer>", GOOD.strip()), (f"<article><h1>T &amp; U</h1><p>a<b>b</b> c<br>d</p></article>", "T & U\n\nab c d"),
         (f"<div class='comments'><p>{GOOD}</p></div><article><p>x</p></article>", "x"), (f"<body><h2>Head</h2><p>{GOOD}</p><p>short end</p><div id=sidebar>{GOOD}</div>", f"Head\n\n{GOOD.strip()}\n\nshort end"), (f"<script>var a = '<p>{GOOD}</p>'</script><!-- <p>{GOOD}</p> --><main><p>y</p></main>", "y"),
         (f"<article><p>1 &lt; 2 and 3 < 4</p><style>p{{}}</style><form>name</form></article>", "1 < 2 and 3 < 4"), (f"<article><p>never closed <!-- no end", "never closed"), ("<article><p>A&nbsp;B\n\t C</p></article>", "A B C"), ("<article><p>cut <a hre", "cut"),
+        (f"<div class='layout with-sidebar'><p>{GOOD}</p><ol class=commentlist><li>{GOOD}</li></ol><div role=contentinfo>{GOOD}</div></div>", GOOD.strip()), ("<article><div class='post-header'><h1>H</h1></div><p>x</p><div class='share-bar'>y</div><p style='display: none'>z</p></article>", "H\n\nx"), (f"<header><p>{GOOD}</p></header><article><header><h1>T</h1></header><p>x</p></article>", "T\n\nx"),
+        (f"<p>{GOOD}</p><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul><div class='cookie-notice'>{GOOD}</div><section id='reader-comments'><article><p>{GOOD}</p></article></section>", GOOD.strip()),
     ],
 )
 def test_html(page, want):
