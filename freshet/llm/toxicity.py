@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm._stage import lean, table
+from freshet.llm._stage import lean, table, trim
 from freshet.llm._words import Chunk, alnum_words, chunks, hash_spans
 
-DOCS_PER_CLASS = 8000
+DOCS_PER_CLASS = 5000
 STEMS = (6, 5, 4)
 #: Documents of a class that a word's own count is discounted by; rarer words are left to their stems.
 DISCOUNT = 2.0
@@ -138,6 +138,7 @@ def chain(units: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], list
     scale = (1 - mass) / np.maximum(kept.sum(axis=0) / total, 1e-12)
     p = kept / total * scale + mass * (types[-1] / types[-1].sum())[:, None]
     ratio: list[np.ndarray] = [np.zeros(0)] * levels
+    above: list[np.ndarray] = [np.zeros(0, np.int64)] * levels
     for level in range(levels - 1, -1, -1):
         if level == 0:
             ratio[0] = np.log(p[:, 1]) - np.log(p[:, 0])
@@ -145,6 +146,7 @@ def chain(units: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], list
         # One level down: units of level - 1 given their stem.
         parent = np.zeros(len(keys[level - 1]), np.int64)
         parent[of[level - 1]] = of[level]
+        above[level - 1] = parent
         sums = n[level]
         kept = np.maximum(n[level - 1] - DISCOUNT, 0)
         kept_sum = np.stack([np.bincount(parent, kept[:, c], len(sums)) for c in (0, 1)], 1)
@@ -153,7 +155,13 @@ def chain(units: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], list
         ratio[level] = np.log(p[:, 1] * back[:, 1]) - np.log(p[:, 0] * back[:, 0])
         share = types[level - 1] / types[level][parent]
         p = p[parent] * (kept / np.maximum(sums[parent], 1) + back[parent] * share[:, None])
-    return keys, ratio
+    # A unit that says what its stem says anyway needn't be kept; without any stem a word says nothing.
+    kept_units = []
+    for level in range(levels):
+        stem = ratio[level + 1][above[level]] if level + 1 < levels else 0.0
+        own = np.abs(ratio[level] - stem) > 1e-9
+        kept_units.append(own)
+    return [k[own] for k, own in zip(keys, kept_units)], [r[own] for r, own in zip(ratio, kept_units)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -187,6 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = DOCS_PER_CLASS) -
     if not len(units) or (counts.sum(axis=0) == 0).any():
         return None
     keys, ratio = chain(units, counts)
+    del words, units, counts
+    trim()
     model = Model(keys, ratio, np.zeros(2 + len(PASSAGES)))
     held = _features(chosen.where("fold = 4"), model).toArrow()
     y = held["toxic"].to_numpy().astype(float)
