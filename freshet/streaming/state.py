@@ -19,7 +19,7 @@ from freshet.streaming.zset import W
 
 
 class StateLog:
-    def __init__(self, spark: SparkSession, name: str, schema: T.StructType, keys: Sequence[str] = (), buckets: int = 32, compact_after: int = 8, path: str | None = None):
+    def __init__(self, spark: SparkSession, name: str, schema: T.StructType, keys: Sequence[str] = (), buckets: int = 16, compact_after: int = 8, path: str | None = None):
         self.spark, self.schema, self.keys, self.buckets, self.compact_after = spark, schema, list(keys), buckets, compact_after
         self.path = path or f"{shared_dir(spark)}/state-{name}-{uuid.uuid4().hex}"
         self.segments: list[str] = []
@@ -27,9 +27,13 @@ class StateLog:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*(self.keys or [f.name for f in self.schema])), F.lit(self.buckets)).cast("int")
 
+    def _write(self, z: DataFrame, segment: str) -> None:
+        """One file for each bucket, or a few for a large one (Spark splits what a rebalance finds too large)."""
+        z.withColumn("bucket_", self._bucket()).hint("rebalance", "bucket_").write.mode("overwrite").partitionBy("bucket_").parquet(segment)
+
     def append(self, change: DataFrame, step: int | str) -> None:
         segment = f"{self.path}/step={step}"
-        change.select(*[f.name for f in self.schema], W).withColumn("bucket_", self._bucket()).write.mode("overwrite").partitionBy("bucket_").parquet(segment)
+        self._write(change.select(*[f.name for f in self.schema], W), segment)
         if segment not in self.segments:
             self.segments.append(segment)
         if len(self.segments) > self.compact_after:
@@ -58,7 +62,7 @@ class StateLog:
     def compact(self, step: int | str) -> None:
         """Merge the log to one segment."""
         segment = f"{self.path}/base={step}"
-        self.zset().withColumn("bucket_", self._bucket()).write.mode("overwrite").partitionBy("bucket_").parquet(segment)
+        self._write(self.zset(), segment)
         old, self.segments = self.segments, [segment]
         jvm = self.spark._jvm
         for s in old:
@@ -69,5 +73,5 @@ class StateLog:
         """Drop rows that can't matter any more (below a waterline, say)."""
         kept = self.zset().where(condition)
         segment = f"{self.path}/kept={step}"
-        kept.withColumn("bucket_", self._bucket()).write.mode("overwrite").partitionBy("bucket_").parquet(segment)
+        self._write(kept, segment)
         self.segments = [segment]
