@@ -269,17 +269,20 @@ class Program:
         deltas: dict[str, DataFrame] = {}
         for name, parts in self.queue.items():
             d = self._accepted(self.tables[name], zset.plus(*parts))
-            d = saved(zset.consolidate(self._upserted(self.tables[name], d)), "delta")
-            deltas[name] = d
+            t = self.tables[name]
+            deltas[name] = t.state.append(zset.consolidate(self._upserted(t, d)), self.steps)
         self.queue = {}
-        for name, d in deltas.items():
-            self.tables[name].state.append(d, self.steps)
         new = dict(old)
         for name in deltas:
             new[name] = self.tables[name].state.relation()
             self._bind(name, new[name])
         out = {}
         for v in self.views.values():
+            if v.local and v.strategy in ("linear", "keyed") and not any(v.name in w.uses for w in self.views.values()):
+                if any(u in deltas for u in v.uses):  # nobody asks for its changes
+                    self._bind(v.name, self.spark.sql(translate(v.query, self._now_text())))
+                    new[v.name] = self.spark.table(v.name)
+                continue
             d = self._view_delta(v, old, new, deltas)
             if d is None:
                 continue

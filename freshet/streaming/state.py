@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.operators.recursion import shared_dir
+from freshet.operators.recursion import saved, shared_dir
 from freshet.streaming import zset
 from freshet.streaming.zset import W
 
@@ -31,13 +31,21 @@ class StateLog:
         """One file for each bucket, or a few for a large one (Spark splits what a rebalance finds too large)."""
         z.withColumn("bucket_", self._bucket()).hint("rebalance", "bucket_").write.mode("overwrite").partitionBy("bucket_").parquet(segment)
 
-    def append(self, change: DataFrame, step: int | str) -> None:
+    def append(self, change: DataFrame, step: int | str) -> DataFrame:
+        """Add a change to the log; the change as written."""
         segment = f"{self.path}/step={step}"
         self._write(change.select(*[f.name for f in self.schema], W), segment)
         if segment not in self.segments:
             self.segments.append(segment)
+        out = self._read(segment)
         if len(self.segments) > self.compact_after:
+            out = saved(out, "delta")
             self.compact(step)
+        return out
+
+    def _read(self, segment: str) -> DataFrame:
+        full = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in self.schema], T.StructField(W, T.LongType()), T.StructField("bucket_", T.IntegerType())])
+        return self.spark.read.schema(full).option("basePath", segment).parquet(segment).drop("bucket_")
 
     def log(self, touched: DataFrame | None = None) -> DataFrame:
         """All segments as one Z-set log; with ``touched`` (the key columns) only buckets that hold such keys."""
