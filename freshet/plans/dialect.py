@@ -74,6 +74,10 @@ def _block(nodes: list[Node], now: str | None) -> str:
     items = c["SELECT"]
     if "FROM" in c:
         c["FROM"] = _from(c["FROM"])
+    group = c.get("GROUP", [])
+    if len(group) > 1 and group[1].is_("DISTINCT"):
+        sets = _grouping_sets(group[2:], now)
+        c["GROUP"] = [Token("raw", "BY GROUPING SETS (" + ", ".join(f"({', '.join(x)})" for x in sets) + ")")]
     if len(items) > 2 and items[0].is_("DISTINCT") and items[1].is_("ON") and isinstance(items[2], Group):
         order = c.pop("ORDER", [])[1:]
         keys, items = items[2], items[3:]
@@ -91,6 +95,28 @@ def _block(nodes: list[Node], now: str | None) -> str:
     return _rest(_items(items, now), c, now)
 
 
+def _grouping_sets(nodes: list[Node], now: str | None) -> list[list[str]]:
+    """The sets of GROUP BY DISTINCT elements, each once."""
+    parts: list[list[list[str]]] = []
+    for e in split(nodes):
+        exprs = lambda g: [_expr(x, now) for x in split(g.body)]
+        if e[0].is_("ROLLUP"):
+            all_ = exprs(e[1])
+            parts.append([all_[:k] for k in range(len(all_), -1, -1)])
+        elif e[0].is_("CUBE"):
+            all_ = exprs(e[1])
+            parts.append([list(x) for k in range(len(all_), -1, -1) for x in itertools.combinations(all_, k)])
+        elif e[0].is_("GROUPING"):
+            parts.append([exprs(x[0]) if isinstance(x[0], Group) else [_expr(x, now)] for x in split(e[2].body)])
+        else:
+            parts.append([[_expr(e, now)]])
+    out: dict[frozenset[str], list[str]] = {}
+    for choice in itertools.product(*parts):
+        merged = list(dict.fromkeys(x for part in choice for x in part))
+        out.setdefault(frozenset(merged), merged)
+    return list(out.values())
+
+
 def _rest(items: str, c: dict[str, list[Node]], now: str | None) -> str:
     return f"SELECT {items}" + _tail({k: v for k, v in c.items() if k not in ("", "SELECT")}, now)
 

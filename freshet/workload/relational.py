@@ -164,6 +164,7 @@ R.sql("distinct", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM
 R.sql("grouping_sets", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, GROUPING_ID(o_orderstatus, o_orderpriority) AS g FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
 R.sql("rollup", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, GROUPING(o_orderstatus, o_orderpriority) AS g FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, GROUPING_ID(o_orderstatus, o_orderpriority) AS g FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 R.sql("cube", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+R.sql("grouping_distinct", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY DISTINCT ROLLUP (o_orderstatus, o_orderpriority), ROLLUP (o_orderstatus)", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 R.sql("grouping", "SELECT o_orderstatus, GROUPING(o_orderstatus) AS g, COUNT(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus)", "SELECT o_orderstatus, CAST(GROUPING(o_orderstatus) AS TINYINT) AS g, COUNT(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus)")
 
 
