@@ -4,10 +4,10 @@ Base spans: e-mail and IP addresses, card and phone numbers. Positions come from
 matches and adding up lengths, so one row is handled in place. The patterns are the plain ones made possessive, and tied to the start of
 a run of their first class or the end of the match before: that changes no match but keeps long runs linear.
 
-Terms: each value found is a protected entity. Words up to CONTEXT characters from an entity, but not across another one, are
-its terms. With document counts over the whole corpus, a term t tells PMI(e; t) = log(n_et * N / (n_e * n_t)) about entity e, out
-of the information IC(e) = log(N / n_e) there is to tell. Where at least MIN_TEXTS different texts show the pair and PMI / IC
-reaches GENERALISE, the term's occurrences beside that entity are spans of kind ``term``: generalised, and from REMOVE on removed.
+Terms: each value found is a protected entity. All words of its text outside the base spans are its terms. With document counts
+over the whole corpus, a term t lets one guess entity e with P(e | t) = (n_et + SMOOTH * P(e)) / (n_t + SMOOTH), P(e) = n_e / N, so that a term
+that was seen little leans on how common the entity is. Of the information IC(e) = -log P(e) it tells log(P(e | t) / P(e)). Where
+that share reaches GENERALISE, every occurrence of the term in a text with the entity is a span of kind ``term``: generalised, and from REMOVE on removed.
 
 Defined cases: null text is empty; it and texts without entities have no spans; equal texts get equal spans; overlapping
 spans of different kinds are all reported, and masked once.
@@ -31,7 +31,9 @@ IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 KINDS = ("email", "ip", "card", "phone", "term")
 
 TERM = r"[\p{L}\p{N}_]{3,}"
-CONTEXT, MIN_TEXTS, GENERALISE, REMOVE = 80, 3, 0.8, 0.95
+SMOOTH, GENERALISE, REMOVE = 0.5, 0.8, 0.95
+#: Keys that stand in this share of the documents are looked up by a broadcast; a share of 1 / 500 bounds their number.
+HOT_SHARE = 1 / 500
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -95,57 +97,67 @@ def _entity(s: Column) -> Column:
     return F.xxhash64(s["kind"], plain)
 
 
-def contexts(text: Column, spans: Column) -> Column:
-    """array<struct<e, t, first, last>>: the terms around each span, up to its neighbours."""
+def terms_outside(text: Column, spans: Column) -> Column:
+    """array<struct<t, first, last>>: the terms of the whole text but those inside spans."""
 
-    def words(piece: Column, at: Column, e: Column) -> Column:
-        return F.transform(located(piece, TERM), lambda w: F.struct(e.alias("e"), F.lower(w["value"]).alias("t"), (w["first"] + at).alias("first"), (w["last"] + at).alias("last")))
+    def words(lo: Column, hi: Column) -> Column:
+        piece = F.substring(text, lo + 1, F.greatest(hi - lo, F.lit(0)))
+        return F.transform(located(piece, TERM), lambda w: F.struct(F.lower(w["value"]).alias("t"), (w["first"] + lo).alias("first"), (w["last"] + lo).alias("last")))
 
-    def around(all_: Column) -> Column:
-        def one(s: Column, i: Column) -> Column:
-            before = F.coalesce(F.get(all_, i - 1)["last"], F.lit(0))
-            after = F.coalesce(F.get(all_, i + 1)["first"], F.length(text))
-            lo, hi = F.greatest(before, s["first"] - CONTEXT), F.least(after, s["last"] + CONTEXT)
-            left = F.substring(text, lo + 1, F.greatest(s["first"] - lo, F.lit(0)))
-            right = F.substring(text, s["last"] + 1, F.greatest(hi - s["last"], F.lit(0)))
-            # A word that the limit cuts is no term; blank it without moving the rest.
-            cut_left = F.when(lo > before, F.concat(F.regexp_replace(F.regexp_extract(left, r"\A[\p{L}\p{N}_]*", 0), ".", " "), F.regexp_replace(left, r"\A[\p{L}\p{N}_]*", ""))).otherwise(left)
-            cut_right = F.when(hi < after, F.regexp_replace(right, r"[\p{L}\p{N}_]*\z", "")).otherwise(right)
-            return _let(_entity(s), lambda e: F.concat(words(cut_left, lo, e), words(cut_right, s["last"], e)))
+    def between(all_: Column) -> Column:
+        upto = lambda lasts, i: F.coalesce(F.array_max(F.slice(lasts, F.lit(1), i)), F.lit(0))
+        ends = F.transform(all_, lambda s: s["last"])
+        return _let(ends, lambda lasts: F.concat(F.flatten(F.transform(all_, lambda s, i: words(upto(lasts, i), s["first"]))), words(upto(lasts, F.size(lasts)), F.length(text))))
 
-        return F.flatten(F.transform(all_, one))
-
-    return _let(F.array_sort(spans), around)
+    return _let(F.array_sort(spans), between)
 
 
 def found(docs: DataFrame, *keep: str) -> DataFrame:
-    """Rows of ``docs`` (columns ``keep``) with spans, terms around them and, where there are spans, ``text_key``; written."""
+    """Rows of ``docs`` (columns ``keep``) with spans, the terms beside them and, where there are spans, ``text_key``; written."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(*keep, text.alias("_text")).withColumn("spans", base_spans(F.col("_text")))
-    rows = rows.withColumn("terms", F.when(F.size("spans") > 0, contexts(F.col("_text"), F.col("spans"))).otherwise(F.array().cast("array<struct<e: bigint, t: string, first: int, last: int>>")))
+    rows = rows.withColumn("terms", F.when(F.size("spans") > 0, terms_outside(F.col("_text"), F.col("spans"))).otherwise(F.array().cast("array<struct<t: string, first: int, last: int>>")))
     return written(rows.withColumn("text_key", F.when(F.size("spans") > 0, F.md5("_text"))).drop("_text"), "entities")
 
 
+def _pairs(rows: DataFrame, *keep: str) -> DataFrame:
+    """(``keep``, e, t): every entity of a row with every term of it, once."""
+    each = rows.select(*keep, F.explode(F.array_distinct(F.transform("spans", _entity))).alias("e"), F.array_distinct(F.transform("terms", lambda c: c["t"])).alias("ts"))
+    return each.select(*keep, "e", F.explode("ts").alias("t"))
+
+
+def _counted(pairs: DataFrame, counts: DataFrame, key: str, n: str, hot_from: float) -> DataFrame:
+    """``pairs`` with the count ``n`` of their ``key``, null if there is none; hot keys are broadcast, so that their pairs needn't meet in one task."""
+    hot = counts.where(F.col(n) >= hot_from).withColumnRenamed(n, "_hot")
+    rest = counts.where(F.col(n) < hot_from).select(F.col(key).alias("_place"), n)
+    spread = pairs.join(F.broadcast(hot), key, "left").withColumn("_place", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64("e", "t")))
+    return spread.join(rest, "_place", "left").withColumn(n, F.coalesce("_hot", n)).drop("_hot", "_place")
+
+
 def disclosures(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(e, t, disclosure) of the pairs that reach GENERALISE; ``rows``: found(docs)."""
-    total = F.lit(float(rows.count()))
+    total = float(rows.count())
+    hot_from = max(20.0, total * HOT_SHARE)
     with_spans = rows.where("text_key IS NOT NULL")
-    pair = F.array_distinct(F.transform("terms", lambda c: F.struct(c["e"].alias("e"), c["t"].alias("t"))))
-    pairs = with_spans.select("text_key", F.explode(pair).alias("p")).groupBy("p.e", "p.t", "text_key").agg(F.count("*").alias("n")).groupBy("e", "t").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= MIN_TEXTS)
-    entities = with_spans.select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.col("text")), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))
-    terms = docs.select(F.explode(words).alias("h")).groupBy("h").agg(F.count("*").alias("n_t"))
-    joined = pairs.withColumn("h", F.xxhash64("t")).join(entities, "e").join(terms, "h")
-    ic = F.log(total / F.col("n_e"))
-    pmi = F.log(F.col("n_et") * total / (F.col("n_e") * F.col("n_t")))
-    return joined.where(ic > 0).withColumn("disclosure", pmi / ic).where(F.col("disclosure") >= GENERALISE).select("e", "t", "disclosure")
+    pairs = _pairs(with_spans).groupBy("e", "t").agg(F.count("*").alias("n_et"))
+    entities = written(with_spans.select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e")), "counts")
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
+    terms = written(docs.select(F.explode(words).alias("h")).groupBy("h").agg(F.count("*").alias("n_t")), "counts")
+    joined = _counted(_counted(pairs, entities, "e", "n_e", hot_from).withColumn("h", F.xxhash64("t")), terms, "h", "n_t", hot_from)
+    p_e = F.col("n_e") / total
+    # A term that a span cuts from a longer word may stand nowhere whole.
+    p_et = (F.col("n_et") + SMOOTH * p_e) / (F.greatest("n_t", "n_et") + SMOOTH)
+    return joined.where(p_e < 1).withColumn("disclosure", F.log(p_et / p_e) / -F.log(p_e)).where(F.col("disclosure") >= GENERALISE).select("e", "t", "disclosure")
 
 
 def term_spans(rows: DataFrame, revealing: DataFrame) -> DataFrame:
-    """(text_key, terms): for each text the revealing terms' places, array<struct<first, last, removed>>, in order."""
-    places = rows.where("text_key IS NOT NULL").select("text_key", F.explode("terms").alias("c")).select("text_key", "c.*").distinct()
-    hit = places.join(revealing, ["e", "t"]).groupBy("text_key", "first", "last").agg((F.max("disclosure") >= REMOVE).alias("removed"))
-    return hit.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("first", "last", "removed"))).alias("revealing"))
+    """(text_key, revealing): for each text the revealing terms' places, array<struct<first, last, removed>>, in order."""
+    texts = rows.where("text_key IS NOT NULL").select("text_key", "spans", "terms").dropDuplicates(["text_key"])
+    hit = _pairs(texts, "text_key").join(revealing, ["e", "t"]).groupBy("text_key", "t").agg((F.max("disclosure") >= REMOVE).alias("removed"))
+    chosen = lambda removed: F.collect_set(F.when(F.col("removed") == removed, F.col("t")))
+    by_text = hit.groupBy("text_key").agg(chosen(False).alias("general"), chosen(True).alias("gone"))
+    places = lambda names, removed: F.transform(F.filter("terms", lambda c: F.array_contains(names, c["t"])), lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), F.lit(removed).alias("removed")))
+    return texts.join(by_text, "text_key").select("text_key", F.array_sort(F.concat(places("general", False), places("gone", True))).alias("revealing"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:

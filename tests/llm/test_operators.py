@@ -109,6 +109,17 @@ def test_pii_terms(spark):
     assert [clean[i + 5] for i in range(60)] == other
 
 
+def test_pii_terms_of_single_texts(spark):
+    """A value in one text has revealing terms too, however far from it, and each of their occurrences is masked."""
+    far = "report of the day about lunch " * 20
+    lines = [f"quuxley {far}joe@corp.example and lunch quuxley", *[f"{far}and lunch of someone {i}" for i in range(99)]]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.t for r in pii.disclosures(df, pii.found(df, "doc_id")).collect()} == {"quuxley"}
+    clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert clean[0] == lines[0].replace("quuxley", "[TERM]").replace("joe@corp.example", "[EMAIL]")
+    assert [clean[i] for i in range(1, 100)] == lines[1:]
+
+
 def test_pii_long_runs(spark):
     """Many matches in one text, and long runs that nearly match, take no quadratic time."""
     text = " ".join(f"u{i}@h{i}.org" for i in range(3000)) + " " + "a" * 50_000 + " " + "1" * 50_000 + " +1" + " " * 50_000
