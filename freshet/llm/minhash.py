@@ -11,8 +11,8 @@ the next level.
 Candidates are not listed pair by pair within a bucket. Rounds pick one centre per bucket (first the member with the most
 bucket mates, then a seeded draw), test the members of other components against it on the full sets, and merge
 what passes. Buckets within one component are finished. What then still lies in one bucket but different
-components is tested pair by pair in bounded cells, where a signature estimate far below the threshold, and then short shingle hashes, rule pairs out. So no link that changes a component is lost
-beyond the banding's odds and the estimate's (a link at 0.8 is estimated under 0.67 with probability 1e-4 or less).
+components is tested pair by pair in bounded cells, where set sizes and then short shingle hashes rule pairs out that can't reach the threshold.
+So no link that changes a component is lost beyond the banding's odds.
 
 Defined cases: null, empty and wordless texts have empty sets, link with nothing and are their own component; fewer words than
 a shingle count as one shingle; rows with one doc_id count as one document for links; a null doc_id takes no part
@@ -35,7 +35,8 @@ from freshet.llm.components import components
 SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
 STAR_ROUNDS = 2
-ESTIMATE = 0.67
+#: Set elements that are compared with one set at a time.
+OVERLAP = 1 << 20
 #: Members of a bucket that one task compares with as many others at a time.
 BLOCK = 1024
 
@@ -103,7 +104,7 @@ def _sum_by_row(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, k: int, signatures: bool = True) -> DataFrame:
-    """doc_id, set size and 128-bit set hash of each document; with signatures also its band keys and a byte of each slot."""
+    """doc_id, set size and 128-bit set hash of each document; with signatures also its band keys."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,12 +124,11 @@ def fingerprints(docs: DataFrame, k: int, signatures: bool = True) -> DataFrame:
                     keys = band_keys(sig).view(np.int64)
                     arrays += [
                         pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1))),
-                        pa.array([x.tobytes() for x in (sig & np.uint32(255)).astype(np.uint8)], pa.binary()),
                     ]
-                    names += ["bands", "sig"]
+                    names.append("bands")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = f"doc_id {id_type}, n_shingles long, h1 long, h2 long" + (", bands array<long>, sig binary" if signatures else "")
+    schema = f"doc_id {id_type}, n_shingles long, h1 long, h2 long" + (", bands array<long>" if signatures else "")
     return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """One row per document: doc_id, n_shingles, set hash (h1, h2), component_id and kept."""
     prints = written(fingerprints(docs, k), "prints")
     reps = written(
-        prints.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
+        prints.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")),
         "reps",
     )
     buckets = reps.select("rep", F.posexplode("bands").alias("band", "key"))
@@ -186,9 +186,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if round_ < STAR_ROUNDS:
             pairs = known.join(open_, "key").where("comp != centre.comp").select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")).distinct()
         else:
-            rows = written(known.join(open_.select("key"), "key").select("key", "band", "rep", "comp"), "open")
-            sketches = reps.select("rep", "sig").join(short_sets(texts.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), k), "rep")
-            pairs = _across(rows, sketches.groupBy("rep").agg(F.first("sig").alias("sig"), F.max("shingles").alias("shingles")), percent).distinct()
+            rows = written(known.join(open_.select("key"), "key").select("key", "rep", "comp"), "open")
+            sets = short_sets(texts.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), k)
+            pairs = _across(rows, sets.groupBy("rep").agg(F.max("shingles").alias("shingles")), percent).distinct()
         for t in tested:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -219,38 +219,36 @@ def short_sets(texts: DataFrame, k: int) -> DataFrame:
 
 
 def _across(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) in one bucket but different components that may be links, hardly any of them not.
+    """The pairs (a, b) in one bucket but different components that may be links, hardly any of them not; a pair once for each bucket it shares.
 
-    Signatures have to agree in at least ESTIMATE of the slots, then the sets of short shingle hashes nearly have to reach the threshold.
+    The sizes of the sets of short shingle hashes, then the sets themselves nearly have to reach the threshold.
 
     Members of a bucket's largest component needn't meet one another, so the members of the others ("few") meet all of
-    the bucket: a grid of cells of at most BLOCK by BLOCK members, each compared as one matrix of signature bytes. A pair counts in the first band it shares only.
+    the bucket: a grid of cells of at most BLOCK by BLOCK members, each compared as one matrix.
     """
     by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     largest = by_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
     grid = largest.select("key", F.col("m.comp").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("few_blocks"), F.ceil(F.col("all") / BLOCK).cast("int").alias("all_blocks"))
     placed = rows.join(grid, "key").join(sketches, "rep")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    few = placed.where("comp != main").select("key", "band", own("few_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("few"), "rep", "comp", "sig", "shingles")
-    every = placed.select("key", "band", F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1)).alias("i"), own("all_blocks").alias("j"), F.lit(False).alias("few"), "rep", "comp", "sig", "shingles")
+    few = placed.where("comp != main").select("key", own("few_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(True).alias("few"), "rep", "comp", "shingles")
+    every = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1)).alias("i"), own("all_blocks").alias("j"), F.lit(False).alias("few"), "rep", "comp", "shingles")
     cells = few.union(every).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def cell(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         is_few = rows["few"].to_numpy()
-        rep, comp, band = rows["rep"].to_numpy(), rows["comp"].to_numpy(), int(rows["band"][0].as_py())
-        s = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, SLOTS)
+        rep, comp = rows["rep"].to_numpy(), rows["comp"].to_numpy()
         sets = [np.frombuffer(x, "<u4") for x in rows["shingles"].to_pylist()]
+        size = np.array([len(x) for x in sets])
         f, e = np.flatnonzero(is_few), np.flatnonzero(~is_few)
         a, b = [], []
         for k in range(0, len(f), 32):
             part = f[k : k + 32]
             for m in range(0, len(e), 4096):
                 other = e[m : m + 4096]
-                same = s[part][:, None, :] == s[other][None, :, :]
-                near = (same.sum(axis=2) >= ESTIMATE * SLOTS) & (comp[part][:, None] != comp[other][None, :])
-                x, y = np.nonzero(near)
-                earlier = same[x, y, : band * ROWS].reshape(len(x), band, ROWS).all(axis=2).any(axis=1)
-                x, y = part[x[~earlier]], other[y[~earlier]]
+                small, large = np.minimum(size[part][:, None], size[other][None, :]), np.maximum(size[part][:, None], size[other][None, :])
+                x, y = np.nonzero((small * 100 >= large * (percent - 1)) & (comp[part][:, None] != comp[other][None, :]))
+                x, y = part[x], other[y]
                 ok = _overlap(sets, x, y) * 100 >= percent - 1
                 a.append(rep[x[ok]])
                 b.append(rep[y[ok]])
@@ -282,13 +280,20 @@ def _overlap(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray
     """The Jaccard similarity of sets x[i] and y[i]; x in order."""
     out = np.zeros(len(x))
     bounds = np.r_[0, np.flatnonzero(x[1:] != x[:-1]) + 1, len(x)] if len(x) else []
-    for i, j in zip(bounds[:-1], bounds[1:]):
-        one, others = sets[x[i]], [sets[v] for v in y[i:j]]
-        size = np.array([len(o) for o in others])
-        flat = np.concatenate(others)
-        at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
-        both = np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(size) - size)
-        out[i:j] = both / (len(one) + size - both)
+    for first, last in zip(bounds[:-1], bounds[1:]):
+        one, i = sets[x[first]], first
+        while i < last:
+            j, many = i, 0
+            while j < last and (j == i or many + len(sets[y[j]]) <= OVERLAP):
+                many += len(sets[y[j]])
+                j += 1
+            others = [sets[v] for v in y[i:j]]
+            size = np.array([len(o) for o in others])
+            flat = np.concatenate(others)
+            at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+            both = np.add.reduceat((one[at] == flat).astype(np.int64), np.cumsum(size) - size)
+            out[i:j] = both / (len(one) + size - both)
+            i = j
     return out
 
 

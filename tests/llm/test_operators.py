@@ -363,6 +363,15 @@ def test_superminhash_estimates():
     assert len(set((one[0] >> 24).tolist())) == minhash.SLOTS  # a lone element fills each slot at its own level
 
 
+def test_pairs_of_open_buckets(spark):
+    """A link is met in the bucket it shares, whatever single bytes of earlier bands or of the whole signatures say."""
+    same_, other = bytes(minhash.SLOTS), bytes([1]) * minhash.SLOTS
+    of = lambda n: np.arange(n, dtype="<u4").tobytes()
+    sketches = spark.createDataFrame([(1, same_, of(100)), (2, same_, of(90)), (3, other, of(95)), (4, same_, of(40))], "rep long, sig binary, shingles binary")
+    rows_ = spark.createDataFrame([(7, 5, i, i) for i in (1, 2, 3, 4)], "key long, band int, rep long, comp long")
+    assert set(rows(minhash._across(rows_, sketches, 80).where("a < b"), "a", "b")) == {(1, 2), (1, 3), (2, 3)}
+
+
 def test_chained_groups(spark):
     """A chain whose ends are far apart is one group; one large bucket of many variants is found whole."""
     base = [f"t{i}" for i in range(200)]
