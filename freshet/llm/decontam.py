@@ -168,6 +168,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int =
     spark = docs.sparkSession
     blocks = _blocks(benchmark, window)
     gap = window + 2 * slop + 2
+    if len(blocks) > 1:  # a document has a row for each block of items, told apart by the place of its row in one written table
+        placed = written(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"), "placed")
+        docs = placed.select(F.col("_row").alias("doc_id"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     parts = []
     for w in blocks:
@@ -207,10 +210,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int =
 
         parts.append(index.mapInArrow(lean(run), f"doc_id {id_type}, n_words long, runs array<long>, items array<string>, near_items array<string>"))
     out = parts[0]
-    if len(parts) > 1:  # a document has a row for each block of items; rows of a repeated doc_id hold equal id and count
+    if len(parts) > 1:
         for p in parts[1:]:
             out = out.union(p)
         out = out.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"))
+        out = out.withColumnRenamed("doc_id", "_row").join(placed.select("_row", "doc_id"), "_row").select("doc_id", "n_words", "runs", "items", "near_items")
     return out
 
 

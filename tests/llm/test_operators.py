@@ -156,6 +156,17 @@ def test_decontamination_blocks(odd, spark, monkeypatch):
     assert got == want
 
 
+def test_decontamination_blocks_keep_rows(odd, spark, monkeypatch):
+    """With several blocks too each row is one of its own: nulls, repeats, and texts that share id and length."""
+    extra = [(30, " ".join(f"shared{j}" for j in range(12))), (30, " ".join(f"shared{j}" for j in range(20, 32))), (30, " ".join("abcdefghijkl"))]
+    mine = [(i, " ".join(f"shared{j}" for j in range(i, i + 12))) for i in range(30)]
+    bench = spark.createDataFrame(mine, "item_id long, text string")
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 1200)
+    df = odd.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    assert len(decontam._blocks(bench, 10)) > 1
+    same(rows(decontam.digest(decontam.matches(df, bench)), *COLS4), brute.decontaminate([*ODD, *extra], mine))
+
+
 def test_proximity(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     text = item.replace("gamma", "gamma very")
