@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from freshet.functions import udf
-from freshet.operators.recursion import fixed_point, saved
+from freshet.operators.recursion import fixed_point
 from freshet.plans import ddl, types
 from freshet.plans.dialect import translate
 from freshet.session import configure
+from freshet.shared import saved
 from freshet.streaming import zset
 from freshet.streaming.state import StateLog
 from freshet.streaming.zset import W

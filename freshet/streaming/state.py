@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from freshet.operators.recursion import saved, shared_dir
+from freshet.shared import saved, shared_dir
 from freshet.streaming import zset
 from freshet.streaming.zset import W
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions import udf
 from freshet.operators import aggregates, recursion, timewindows
 from freshet.plans.dialect import translate
+from freshet.shared import fresh_path, saved
 from freshet.sources import datagen, formats
 from freshet.streaming import zset
 from freshet.streaming.program import Program
@@ -51,8 +54,8 @@ def ts_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timewindows.rolling(e, ["event_type"], "ts", 600, 300, n=F.count("*"), most=F.max("value")).select("event_id", "n", "most")
 
 
-# Recursion over orders of one customer region: n -> 2n and 2n + 1 while they exist
-_EDGES = "SELECT o_orderkey AS src, o_orderkey * 3 AS dst FROM orders WHERE o_orderkey > 0 AND o_orderkey * 3 < 15000"
+# Recursion over all orders: an order leads to the one of three times its key
+_EDGES = "SELECT o_orderkey AS src, o_orderkey * 3 AS dst FROM orders WHERE o_orderkey > 0 AND o_orderkey * 3 IN (SELECT o_orderkey FROM orders)"
 
 
 @R.query("rec_closure", f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT * FROM r")
@@ -62,14 +65,14 @@ def rec_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recursion.transitive_closure(spark.sql(_EDGES))
 
 
-@R.query("rec_mutual", "SELECT CAST(o_orderkey AS BIGINT) AS n FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey <= 40")
+@R.query("rec_mutual", "SELECT CAST(o_orderkey AS BIGINT) AS n FROM orders WHERE o_orderkey > 0 AND length(bin(o_orderkey)) % 2 = 1")
 def rec_mutual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even numbers by two views that call each other: n is even if n - 1 is odd, odd if n - 1 is even."""
+    """Keys at even depth of the tree n -> 2n, 2n + 1 by two views that call each other: n is at even depth if its parent is at odd depth, and the other way round."""
     (o,) = load(spark, sf_dir, "orders")
-    keys = o.select(F.col("o_orderkey").alias("n")).where("n <= 40")
-    zero = spark.createDataFrame([(0,)], "n long")
-    rule = lambda other: lambda total, fresh: fresh[other].select((F.col("n") + 1).alias("n")).join(keys, "n", "left_semi")
-    return recursion.fixed_point({"even": zero, "odd": zero.limit(0)}, {"even": rule("odd"), "odd": rule("even")})["even"]
+    keys = o.select(F.col("o_orderkey").alias("n"))
+    root = spark.createDataFrame([(1,)], "n long")
+    rule = lambda other: lambda total, fresh: fresh[other].select(F.explode(F.array(F.col("n") * 2, F.col("n") * 2 + 1)).alias("n")).join(keys, "n", "left_semi")
+    return recursion.fixed_point({"even": root, "odd": root.limit(0)}, {"even": rule("odd"), "odd": rule("even")})["even"]
 
 
 @R.query("rec_view", f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT * FROM r")
@@ -82,7 +85,7 @@ def rec_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         CREATE VIEW reach AS SELECT src, dst FROM edge UNION SELECT r.src, e.dst FROM reach r JOIN edge e ON r.dst = e.src;""",
     )
     load(spark, sf_dir, "orders")[0].createOrReplaceTempView("orders")
-    extra = spark.createDataFrame([(15000 * 3, 1)], "src long, dst long")
+    extra = spark.createDataFrame([(-3, 1)], "src long, dst long")
     p.push("edge", spark.sql(_EDGES).unionAll(extra))
     p.step()
     p.push("edge", deletes=extra)
@@ -124,10 +127,10 @@ def zset_distinct_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sum of the changes of a distinct relation."""
     counts, out = None, []
     for c in _changes(spark, sf_dir):
-        c = recursion.saved(c.select("user_id", "event_type", W), "change")
+        c = saved(c.select("user_id", "event_type", W), "change")
         counts = counts if counts is not None else c.limit(0)
         out.append(zset.distinct_delta(counts, c))
-        counts = recursion.saved(zset.integrate(counts, c), "counts")
+        counts = saved(zset.integrate(counts, c), "counts")
     return zset.integrate(*out).select("user_id", "event_type")
 
 
@@ -136,9 +139,9 @@ def zset_linear_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and sums kept from changes alone."""
     state, out = None, []
     for c in _changes(spark, sf_dir):
-        delta, state = zset.linear_delta(state, recursion.saved(c, "change"), ["user_id"], {"total": "cents"})
-        state = recursion.saved(state, "groups")
-        out.append(recursion.saved(delta, "delta"))
+        delta, state = zset.linear_delta(state, saved(c, "change"), ["user_id"], {"total": "cents"})
+        state = saved(state, "groups")
+        out.append(saved(delta, "delta"))
     return zset.integrate(*out).select("user_id", "n_", "total")
 
 
@@ -236,7 +239,7 @@ def stream_emit_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file stream through Structured Streaming into a program, until it is used up."""
     (e,) = load(spark, sf_dir, "events")
-    folder = f"{recursion.shared_dir(spark)}/stream-in-{recursion.uuid.uuid4().hex}"
+    folder = fresh_path(spark, "stream-in")
     e.select("event_id", "event_type").repartition(3).write.parquet(folder)
     p = Program(spark, "CREATE TABLE t (event_id BIGINT, event_type VARCHAR); CREATE VIEW v AS SELECT event_type, COUNT(*) AS n FROM t GROUP BY event_type;")
     stream = spark.readStream.schema("event_id long, event_type string").option("maxFilesPerTrigger", 2).parquet(folder)
@@ -249,9 +252,9 @@ def stream_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_watermark_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A windowed count by Spark's own state store, with a watermark."""
     (e,) = load(spark, sf_dir, "events")
-    folder = f"{recursion.shared_dir(spark)}/stream-in-{recursion.uuid.uuid4().hex}"
+    folder = fresh_path(spark, "stream-in")
     e.select(F.col("ts").cast("timestamp").alias("ts")).write.parquet(folder)
-    name = f"watermarked_{recursion.uuid.uuid4().hex}"
+    name = f"watermarked_{uuid.uuid4().hex}"
     counts = spark.readStream.schema("ts timestamp").parquet(folder).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
     counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
@@ -285,7 +288,7 @@ def stream_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A program that stops half way and goes on from its checkpoint."""
     (e,) = load(spark, sf_dir, "events")
     sql = "CREATE TABLE t (event_id BIGINT, event_type VARCHAR); CREATE VIEW v AS SELECT event_type, COUNT(*) AS n FROM t GROUP BY event_type;"
-    path = f"{recursion.shared_dir(spark)}/checkpoint-{recursion.uuid.uuid4().hex}"
+    path = fresh_path(spark, "checkpoint")
     p = Program(spark, sql)
     p.push("t", e.where("event_id < 5000").select("event_id", "event_type"))
     p.step()
@@ -296,10 +299,10 @@ def stream_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.snapshot("v")
 
 
-@R.query("adhoc_insert", "SELECT n_regionkey AS r, COUNT(*) AS n FROM nation WHERE n_nationkey < 10 GROUP BY n_regionkey")
+@R.query("adhoc_insert", "SELECT n_regionkey AS r, COUNT(*) AS n FROM nation GROUP BY n_regionkey")
 def adhoc_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     load(spark, sf_dir, "nation")[0].createOrReplaceTempView("nation")
-    p = Program(spark, "CREATE TABLE t (k INT, r INT); CREATE MATERIALIZED VIEW v AS SELECT r, COUNT(*) AS n FROM t GROUP BY r; INSERT INTO t (r, k) SELECT n_regionkey, n_nationkey FROM nation WHERE n_nationkey < 10;")
+    p = Program(spark, "CREATE TABLE t (k INT, r INT); CREATE MATERIALIZED VIEW v AS SELECT r, COUNT(*) AS n FROM t GROUP BY r; INSERT INTO t (r, k) SELECT n_regionkey, n_nationkey FROM nation;")
     p.step()
     return p.query("SELECT r, n FROM v")
 
@@ -355,16 +358,16 @@ def format_debezium(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query("format_csv_roundtrip", "SELECT p_partkey, p_name, p_size FROM part")
 def format_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     (p,) = load(spark, sf_dir, "part")
-    path = f"{recursion.shared_dir(spark)}/csv-{recursion.uuid.uuid4().hex}"
+    path = fresh_path(spark, "csv")
     p.select("p_partkey", "p_name", "p_size").write.option("header", "true").csv(path)
     return formats.read_csv(spark, path, "p_partkey long, p_name string, p_size int", headers=True)
 
 
-@R.query("sink_upserts", "SELECT 'update' AS op, p_partkey, p_size + 1 AS p_size FROM part WHERE p_partkey < 100 UNION ALL SELECT 'delete', p_partkey, NULL FROM part WHERE p_partkey BETWEEN 100 AND 199")
+@R.query("sink_upserts", "SELECT CASE WHEN p_size < 25 THEN 'update' ELSE 'delete' END AS op, p_partkey, CASE WHEN p_size < 25 THEN p_size + 1 END AS p_size FROM part")
 def sink_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     (p,) = load(spark, sf_dir, "part")
-    old = p.where("p_partkey < 200").select("p_partkey", "p_size")
-    new = p.where("p_partkey < 100").select("p_partkey", (F.col("p_size") + 1).alias("p_size"))
+    old = p.select("p_partkey", "p_size")
+    new = old.where("p_size < 25").select("p_partkey", (F.col("p_size") + 1).alias("p_size"))
     return formats.upserts(zset.differentiate(old, new), ["p_partkey"])
 
 
