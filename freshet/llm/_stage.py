@@ -1,51 +1,31 @@
-"""Intermediate tables in the shared folder that the session names in ``spark.checkpoint.dir``."""
+"""Intermediate tables, and small helpers for partition functions."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: list[str] = []
+from freshet.shared import dropped, saved
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where it is unset (as in tests) a temporary one of this driver."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="freshet-"))
-    return f"file://{_own[0]}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
+__all__ = ["bounded", "dropped", "free_name", "lean", "table", "trim", "written"]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, lost executors re-read."""
-    spark = bounded(df.sparkSession)
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._freshet_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a written table that nothing reads any more."""
-    spark, path = df.sparkSession, df._freshet_path
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    bounded(df.sparkSession)
+    return saved(df, name)
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores before it until no column of ``taken`` has it (Spark ignores case)."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = "_" + name
+    return name
 
 
 def trim() -> None:
