@@ -1,90 +1,121 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Both classes, toxic and ordinary, have a model of words with absolute discounting over a chain of ever shorter stems:
-word, first 6, 5 and 4 bytes of it, and at the end a base shared by both classes that counts, as Kneser-Ney continuation counts do, how
-many distinct words a stem has. A class without enough evidence for a word falls back along the chain; the last step weighs
-the same for both classes, so what neither knows counts for neither. Counts are documents (of different text) that hold a word.
+Both classes, toxic and ordinary, have a model of words given the word before, which backs off from the pair of words to the
+word and on to the first 6 and 4 bytes of it. The counts are Kneser-Ney's: a pair counts the texts that hold it, a word the different words before
+it, a stem the different words that begin with it; so a passage that is copied often counts once for most of its words. Each level's discount D is n1 / (n1 + 2 n2) of
+its own counts of counts. Both classes are brought to the same discounted mass (for pairs, the mass after one word), and what the discount takes from a unit goes back to it
+in both classes alike, as one backoff count of D, tilted by what the level below says. The normalisers then cancel, and of a unit with discounted counts t and o in the two classes the ratio of log-likelihoods is
 
-A document's evidence is the difference of the classes' log-likelihoods divided by length, over the whole text and over its most
-suspicious passages of PASSAGES words. A logistic calibration on labelled rows that the counts leave out turns these into the score.
+    ratio = ln(t + D * exp(below / 2)) - ln(o + D * exp(-below / 2))
 
-Labels are learnt from a bounded sample: at most DOCS_PER_CLASS rows of each class, drawn by a hash of doc_id, from rows with crc32(doc_id) mod 5
-in 1 to 3 for the counts and 4 for the calibration. Scores use the text alone.
+A unit within PRUNE of the level below says what that level says, and isn't kept; nor is a pair that one text alone holds. What no level knows says nothing.
+
+A text's evidence is the difference of the classes' log-likelihoods divided by length: over the whole text, and over its most suspicious passages of PASSAGES
+words. A logistic calibration turns these into the score; it grows with each of them unless the calibration rows say otherwise.
+
+Labels are learnt from all rows with crc32(doc_id) mod 5 in 1 to 3 (the counts; grouped and joined, never collected), and the calibration from at most CALIBRATION_ROWS
+rows with 4, drawn by a hash of doc_id. Scores use the text alone. A model of at most MODEL_BYTES is broadcast; a larger one is joined to the words of the
+texts. Both ways give the same scores.
 
 Defined cases: null and empty text have no evidence and get the calibration's base score; a null doc_id counts as not held out; without
-labels of both classes every score is 0; contradicting labels of one doc_id count as toxic.
+labels of both classes every score is 0; without both among the calibration rows, fixed weights hold; contradicting labels of one doc_id, or of one text, count as
+toxic; a text with several labelled rows counts once, by its least doc_id, rows repeated in full each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from freshet.llm._stage import lean, table, trim
-from freshet.llm._words import Chunk, alnum_words, chunks, hash_spans
+from freshet.llm._stage import dropped, free_name, lean, table, trim, written
+from freshet.llm._words import Chunk, alnum_words, chunks, hash_spans, mix
 
-DOCS_PER_CLASS = 5000
-STEMS = (6, 5, 4)
-#: Documents of a class that a word's own count is discounted by; rarer words are left to their stems.
-DISCOUNT = 2.0
+#: Lengths in bytes of the stems a word backs off to.
+STEMS = (6, 4)
 PASSAGES = (1, 3)
-CLIP = (-2.0, 9.0)
+PRUNE = 0.3
+CALIBRATION_ROWS = 20_000
+MODEL_BYTES = 64 << 20
+#: Without calibration rows of both classes: base, passages, whole text.
+FIXED_WEIGHTS = (-6.0, 1.5, 0.0, 0.0)
+#: The word before the first.
+START = np.uint64(0x5EED)
+#: Words whose pairs a task counts together before it ships them.
+GATHER = 1 << 20
+LEVELS = ("pair", "word", *[f"s{n}" for n in STEMS])
 
 
 def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(-1))
 
 
+def word_before(c: Chunk) -> np.ndarray:
+    out = np.empty_like(c.hashes)
+    out[1:] = c.hashes[:-1]
+    first = c.word_at[:-1]
+    out[first[c.counts() > 0]] = START
+    return out
+
+
+def stem_hashes(c: Chunk) -> list[np.ndarray]:
+    """Hashes of each word's stems; a stem as long as the word is the word with a mark of its level."""
+    return [hash_spans(c.data, c.start, np.minimum(c.start + n, c.end)) ^ np.uint64(n << 56) for n in STEMS]
+
+
+def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(before, 61) + word, 62)
+
+
 def unit_hashes(c: Chunk) -> np.ndarray:
-    """Hashes of each word and of its stems; a stem as long as the word is the word with a mark of its level."""
-    out = [c.hashes]
-    for n in STEMS:
-        out.append(hash_spans(c.data, c.start, np.minimum(c.start + n, c.end)) ^ np.uint64(n << 56))
-    return np.stack(out, 1)
+    """The unit of every level at each word: words x LEVELS."""
+    return np.stack([pair_hash(word_before(c), c.hashes), c.hashes, *stem_hashes(c)], 1)
 
 
 @dataclass
 class Model:
-    """Per level, sorted hashes and the log-likelihood ratio of words that end there; levels from word to the shortest stem."""
+    """Sorted units of every level with their ratios, from pairs to the shortest stems, as arrays or, if too large for that, as a table (unit, ratio); and the calibration."""
 
-    keys: list[np.ndarray]
-    ratio: list[np.ndarray]
-    weights: np.ndarray  # base, passages, whole text
+    units: np.ndarray
+    ratios: np.ndarray
+    table: DataFrame | None = None
+    weights: np.ndarray = field(default_factory=lambda: np.array(FIXED_WEIGHTS))
 
     def evidence(self, units: np.ndarray) -> np.ndarray:
-        """The ratio of each word, by the longest known unit."""
+        """The ratio of each word, by the longest unit that is known."""
         out = np.zeros(len(units))
         left = np.arange(len(units))
-        for level, (keys, ratio) in enumerate(zip(self.keys, self.ratio)):
-            if not len(left) or not len(keys):
-                continue
+        for level in range(units.shape[1] if len(self.units) else 0):
             want = units[left, level]
-            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            hit = keys[at] == want
-            out[left[hit]] = ratio[at[hit]]
+            at = np.minimum(np.searchsorted(self.units, want), len(self.units) - 1)
+            hit = self.units[at] == want
+            out[left[hit]] = self.ratios[at[hit]]
             left = left[~hit]
-        return np.clip(out, *CLIP)
+        return out
 
     def features(self, c: Chunk) -> np.ndarray:
-        """The best passage means and the whole mean of each row."""
+        """The best means over PASSAGES words, and the mean over all, of each row; a shorter text counts as filled up with words that say nothing."""
         counts = c.counts()
         sums = np.r_[0.0, np.cumsum(self.evidence(unit_hashes(c)))]
-        whole = (sums[c.word_at[1:]] - sums[c.word_at[:-1]]) / np.maximum(counts, 1)
-        out = np.stack([*[np.where(counts > 0, whole * np.minimum(counts, p) / p, 0.0) for p in PASSAGES], whole], 1)
+        total = sums[c.word_at[1:]] - sums[c.word_at[:-1]]
+        out = np.zeros((c.rows, len(PASSAGES) + 1))
+        out[:, -1] = total / np.maximum(counts, 1)
         for i, p in enumerate(PASSAGES):
+            best = total / p
             if len(c.hashes) >= p:
                 mean = (sums[p:] - sums[:-p]) / p
                 at = np.arange(len(mean))
                 row = np.searchsorted(c.word_at, at, "right") - 1
                 ok = at + p <= c.word_at[row + 1]
-                best = np.full(c.rows, -np.inf)
-                np.maximum.at(best, row[ok], mean[ok])
-                out[:, i] = np.where(np.isfinite(best), best, out[:, i])
+                peak = np.full(c.rows, -np.inf)
+                np.maximum.at(peak, row[ok], mean[ok])
+                best = np.where(np.isfinite(peak), peak, best)
+            out[:, i] = best
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -92,76 +123,143 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def sampled_labels(labels: DataFrame, per_class: int) -> DataFrame:
-    """(doc_id, toxic, fold): a bounded draw of each class from the rows open to learning."""
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("fold", fold(F.col("doc_id"))).where("fold > 0")
-    drawn = [known.where(F.col("toxic") == c).orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    return drawn[0].union(drawn[1])
+# Counts
+
 
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, h, toxic, fold): one labelled row of each text (h: its hash), from the folds open to learning; written."""
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("fold", fold(F.col("doc_id")).cast("int")).where("fold > 0")
+    # The labels are written first: their size then tells Catalyst whether to broadcast them or to shuffle both sides.
+    known = written(known, "labels")
+    keyed = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n")).join(known, "doc_id")
+    one = keyed.groupBy("h", "n").agg(F.min(F.struct("doc_id", "fold")).alias("r"), F.max("toxic").alias("toxic"))
+    out = written(one.select("r.doc_id", "h", "toxic", "r.fold"), "labelled")
+    dropped(known)
+    return out
 
-def _words_of(rows: DataFrame) -> DataFrame:
-    """(w, s6, s5, s4, toxic, ordinary): documents of each class with the word; rows: (text, toxic)."""
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """(before, word, t, o): texts of each class with the pair. ``texts``: (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
         for batch in batches:
             for c in chunks(batch.column(0), alnum_words(), lower=True):
-                label = batch.column(1).slice(c.first, c.rows).to_numpy()
-                units, row = unit_hashes(c), c.doc_of_word()
-                order = np.lexsort((units[:, 0], row))
-                units, row = units[order], row[order]
-                new = np.ones(len(row), bool)
-                new[1:] = (units[1:, 0] != units[:-1, 0]) | (row[1:] != row[:-1])
-                units, toxic = units[new], label[row[new]].astype(np.int64)
-                key, first, of = np.unique(units[:, 0], return_index=True, return_inverse=True)
-                t = np.bincount(of, toxic, len(key)).astype(np.int64)
-                n = np.bincount(of, minlength=len(key)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*[pa.array(units[first, i].view(np.int64)) for i in range(units.shape[1])], pa.array(t), pa.array(n - t)], names=["w", "s6", "s5", "s4", "toxic", "ordinary"])
-
-    split = rows.mapInArrow(lean(run), "w long, s6 long, s5 long, s4 long, toxic long, ordinary long")
-    return split.groupBy("w", "s6", "s5", "s4").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-
-
-def chain(units: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Keys and ratios of every level from word units (words x levels) and counts (words x classes; ordinary, toxic)."""
-    levels = units.shape[1]
-    keys, of, n, types = [], [], [], []
-    for level in range(levels):
-        k, inverse = np.unique(units[:, level], return_inverse=True)
-        keys.append(k)
-        of.append(inverse)
-        n.append(np.stack([np.bincount(inverse, counts[:, c], len(k)) for c in (0, 1)], 1))
-        types.append(np.bincount(inverse, minlength=len(k)).astype(float))
-    total = n[-1].sum(axis=0)
-    # The last step: one back-off mass for both classes, the smaller class's own.
-    kept = np.maximum(n[-1] - DISCOUNT, 0)
-    mass = (1 - kept.sum(axis=0) / total).max()
-    scale = (1 - mass) / np.maximum(kept.sum(axis=0) / total, 1e-12)
-    p = kept / total * scale + mass * (types[-1] / types[-1].sum())[:, None]
-    ratio: list[np.ndarray] = [np.zeros(0)] * levels
-    above: list[np.ndarray] = [np.zeros(0, np.int64)] * levels
-    for level in range(levels - 1, -1, -1):
-        if level == 0:
-            ratio[0] = np.log(p[:, 1]) - np.log(p[:, 0])
-            break
-        # One level down: units of level - 1 given their stem.
-        parent = np.zeros(len(keys[level - 1]), np.int64)
-        parent[of[level - 1]] = of[level]
-        above[level - 1] = parent
-        sums = n[level]
-        kept = np.maximum(n[level - 1] - DISCOUNT, 0)
-        kept_sum = np.stack([np.bincount(parent, kept[:, c], len(sums)) for c in (0, 1)], 1)
-        back = np.where(sums > 0, 1 - kept_sum / np.maximum(sums, 1), 1.0)
-        # A word unknown below this stem: its stem and the mass left for it.
-        ratio[level] = np.log(p[:, 1] * back[:, 1]) - np.log(p[:, 0] * back[:, 0])
-        share = types[level - 1] / types[level][parent]
-        p = p[parent] * (kept / np.maximum(sums[parent], 1) + back[parent] * share[:, None])
-    # A unit that says what its stem says anyway needn't be kept; without any stem a word says nothing.
-    kept_units = []
-    for level in range(levels):
-        stem = ratio[level + 1][above[level]] if level + 1 < levels else 0.0
-        own = np.abs(ratio[level] - stem) > 1e-9
-        kept_units.append(own)
-    return [k[own] for k, own in zip(keys, kept_units)], [r[own] for r, own in zip(ratio, kept_units)]
+                label = batch.column(1).slice(c.first, c.rows).to_numpy(zero_copy_only=False)
+                row = c.doc_of_word()
+                part = np.stack([word_before(c), c.hashes, row.astype(np.uint64), label[row].astype(np.uint64)], 1)
+                order = np.lexsort((part[:, 1], part[:, 0], part[:, 2]))
+                part = part[order]
+                new = np.ones(len(part), bool)
+                new[1:] = (part[1:, :3] != part[:-1, :3]).any(axis=1)  # once a text
+                held.append(part[new][:, [0, 1, 3]])
+                n += int(new.sum())
+                if n >= GATHER:
+                    yield _summed(held)
+                    held, n = [], 0
+        if n:
+            yield _summed(held)
+
+    shipped = texts.select("text", "toxic").mapInArrow(lean(run), "before long, word long, t int, o int")
+    return shipped.groupBy("before", "word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+
+
+def _summed(held: list[np.ndarray]) -> pa.RecordBatch:
+    part = np.concatenate(held)
+    part = part[np.lexsort((part[:, 1], part[:, 0]))]
+    first = np.flatnonzero(np.r_[True, (part[1:, :2] != part[:-1, :2]).any(axis=1)])
+    n = np.diff(np.r_[first, len(part)])
+    t = np.add.reduceat(part[:, 2].astype(np.int64), first)
+    return pa.RecordBatch.from_arrays([pa.array(part[first, 0].view(np.int64)), pa.array(part[first, 1].view(np.int64)), pa.array(t, pa.int32()), pa.array(n - t, pa.int32())], names=["before", "word", "t", "o"])
+
+
+def stems_of(texts: DataFrame) -> DataFrame:
+    """(word, a column for each stem) of the words of ``texts``."""
+    names = LEVELS[2:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch.column(0), alnum_words(), lower=True):
+                word, first = np.unique(c.hashes, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *[pa.array(s[first].view(np.int64)) for s in stem_hashes(c)]], names=["word", *names])
+
+    return texts.select("text").mapInArrow(lean(run), ", ".join(["word long", *[f"{s} long" for s in names]])).distinct()
+
+
+# Ratios
+
+
+def _discount(counts: DataFrame) -> tuple[float, float, float]:
+    """(D, discounted mass of toxic, of ordinary counts) of a level."""
+    one = lambda k: (F.col("t") == k).cast("long") + (F.col("o") == k).cast("long")
+    r = counts.agg(F.sum(one(1)).alias("n1"), F.sum(one(2)).alias("n2"), F.sum("t").alias("t"), F.sum("o").alias("o"), F.count_if(F.col("t") > 0).alias("kt"), F.count_if(F.col("o") > 0).alias("ko")).first()
+    d = discount(r["n1"] or 0, r["n2"] or 0)
+    return d, (r["t"] or 0) - d * r["kt"], (r["o"] or 0) - d * r["ko"]
+
+
+def discount(n1: int, n2: int) -> float:
+    return n1 / (n1 + 2 * n2) if n1 else 0.5
+
+
+def _ratio(d: float, scale_t: Column, scale_o: Column, below: Column) -> Column:
+    side = lambda n, scale, sign: F.log(F.greatest(F.col(n) - d, F.lit(0.0)) * scale + d * F.exp(sign * below / 2))
+    return side("t", scale_t, 1) - side("o", scale_o, -1)
+
+
+def _scales(mass_t: Column, mass_o: Column) -> tuple[Column, Column]:
+    """What brings both masses to the smaller of them."""
+    least = F.least(mass_t, mass_o)
+    return tuple(F.when(m > 0, least / m).otherwise(0.0) for m in (mass_t, mass_o))
+
+
+def ratios(pairs: DataFrame, stems: DataFrame) -> DataFrame:
+    """(level, before, unit, ratio, below) of all units; ``before`` is the word before in pairs and 0 in others."""
+    words = written(pairs.groupBy("word").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o")).join(stems, "word"), "words")
+    shown = lambda df, name: df.select(F.lit(name).alias("level"), F.lit(0).cast("long").alias("before"), F.col(name).alias("unit"), "ratio", "below")
+    parts, below, shorter = [], None, None
+    for stem in reversed(LEVELS[2:]):  # from the shortest
+        counts = words.groupBy(stem, *([shorter] if shorter else [])).agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o"))
+        below, shorter = _level(counts, below, shorter), stem
+        parts.append(shown(below, stem))
+    known = _level(words.select("word", shorter, "t", "o"), below, shorter)
+    parts.append(shown(known, "word"))
+    d, _, _ = _discount(pairs)
+    mass = pairs.groupBy("before").agg((F.sum("t") - d * F.count_if(F.col("t") > 0)).alias("mt"), (F.sum("o") - d * F.count_if(F.col("o") > 0)).alias("mo"))
+    often = pairs.where("t + o > 1").join(known.select("word", F.col("says").alias("below")), "word").join(mass, "before")
+    parts.append(often.select(F.lit("pair").alias("level"), "before", F.col("word").alias("unit"), _ratio(d, *_scales(F.col("mt"), F.col("mo")), F.col("below")).alias("ratio"), "below"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _level(counts: DataFrame, below: DataFrame | None, shorter: str | None) -> DataFrame:
+    """``counts`` with what the level below says (0 under the shortest), the ratio, and what the unit says after pruning; written."""
+    d, mass_t, mass_o = _discount(counts)
+    if below is None:
+        counts = counts.withColumn("below", F.lit(0.0))
+    else:
+        counts = counts.join(below.select(shorter, F.col("says").alias("below")), shorter)
+    own = counts.withColumn("ratio", _ratio(d, *_scales(F.lit(float(mass_t)), F.lit(float(mass_o))), F.col("below")))
+    return written(own.withColumn("says", F.when(_tells(), F.col("ratio")).otherwise(F.col("below"))), "level")
+
+
+def _tells() -> Column:
+    return F.abs(F.col("ratio") - F.col("below")) >= PRUNE
+
+
+def pruned(all_: DataFrame) -> DataFrame:
+    """(unit, ratio) of the units that say more than the level below; pairs by their hash, as in unit_hashes()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            before, unit = (b.column(i).to_numpy().view(np.uint64) for i in (1, 2))
+            is_pair = b.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(is_pair, pair_hash(before, unit), unit).view(np.int64)), b.column(3)], names=["unit", "ratio"])
+
+    kept = all_.where(_tells()).select((F.col("level") == "pair").alias("pair"), "before", "unit", "ratio")
+    return kept.mapInArrow(lean(run), "unit long, ratio double").groupBy("unit").agg(F.max("ratio").alias("ratio"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -178,63 +276,97 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = DOCS_PER_CLASS) -> Model | None:
-    """Fit on a bounded sample of labelled documents; None without documents of both classes."""
-    spark = docs.sparkSession
-    drawn = spark.createDataFrame(sampled_labels(labels, per_class).toArrow())  # two times per_class rows at most
-    joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    # One document of each text, so copies don't count as evidence.
-    ids = joined.groupBy(F.xxhash64("text")).agg(F.min(F.struct("doc_id", "toxic", "fold")).alias("r")).select("r.*").toArrow()
-    spark_ids = F.broadcast(spark.createDataFrame(ids)) if ids.num_rows else None
-    if spark_ids is None:
+def train(docs: DataFrame, labels: DataFrame, model_bytes: int = MODEL_BYTES) -> Model | None:
+    """Fit on the labelled rows; None without documents of both classes."""
+    chosen = labelled(docs, labels)
+    texts = docs.where("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("h")).join(chosen, ["doc_id", "h"])
+    learn = texts.where("fold < 4").select("text", "toxic")
+    pairs = written(pair_counts(learn), "pairs")
+    seen = pairs.agg(F.sum("t"), F.sum("o")).first()
+    if not seen[0] or not seen[1]:
         return None
-    chosen = docs.select("doc_id", "text").join(spark_ids, "doc_id")
-    words = _words_of(chosen.where("fold < 4").select("text", "toxic")).toArrow()
-    units = np.stack([words[c].to_numpy().view(np.uint64) for c in ("w", "s6", "s5", "s4")], 1)
-    counts = np.stack([words[c].to_numpy().astype(float) for c in ("ordinary", "toxic")], 1)
-    if not len(units) or (counts.sum(axis=0) == 0).any():
-        return None
-    keys, ratio = chain(units, counts)
-    del words, units, counts
-    trim()
-    model = Model(keys, ratio, np.zeros(2 + len(PASSAGES)))
-    held = _features(chosen.where("fold = 4"), model).toArrow()
-    y = held["toxic"].to_numpy().astype(float)
-    x = np.array(held["features"].to_pylist(), float).reshape(len(y), -1)
-    if len(np.unique(y)) < 2:  # too few rows to calibrate: one strong word decides
-        model.weights = np.array([-6.0, 1.0, 1.0, 0.0])
+    known = written(pruned(ratios(pairs, stems_of(learn))), "model")
+    dropped(pairs)
+    model = Model(np.zeros(0, np.uint64), np.zeros(0))
+    if known.count() * 12 <= model_bytes:
+        got = known.toArrow()
+        units = got["unit"].to_numpy().view(np.uint64)
+        order = np.argsort(units)
+        model.units, model.ratios = units[order], got["ratio"].to_numpy()[order].astype(np.float32)
+        del got
+        trim()
     else:
-        model.weights = logistic(x, y)
+        model.table = known
+    drawn = written(chosen.where("fold = 4").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(CALIBRATION_ROWS), "calibration")
+    rows = texts.where("fold = 4").join(drawn.select("doc_id"), "doc_id", "left_semi").select("text", "toxic")
+    held = evidence(rows, model, "features").select("toxic", "features").toArrow()  # CALIBRATION_ROWS or so
+    y = held["toxic"].to_numpy().astype(float)
+    if len(np.unique(y)) == 2:
+        model.weights = logistic(np.array(held["features"].to_pylist(), float), y)
     return model
 
 
-def _features(rows: DataFrame, model: Model) -> DataFrame:
+# Scores
+
+
+def evidence(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """``docs`` with a column ``name`` of the features of ``text``: array<double>."""
+    columns, kinds = docs.columns, [f.dataType.simpleString() for f in docs.schema]
+    names = [f"c{i}" for i in range(len(columns))]
+    at = columns.index("text")
+    if model.table is not None:
+        return _joined_evidence(docs.toDF(*names), names[at], model.table).toDF(*columns, name)
+    shared = docs.sparkSession.sparkContext.broadcast(Model(model.units, model.ratios))  # MODEL_BYTES at most
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for batch in batches:
-            for c in chunks(batch.column(0), alnum_words(), lower=True):
-                f = model.features(c)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(c.first, c.rows), pa.array(list(f), pa.list_(pa.float64()))], names=["toxic", "features"])
+            found = [m.features(c) for c in chunks(batch.column(at), alnum_words(), lower=True)]
+            flat = np.concatenate(found) if found else np.zeros((0, len(PASSAGES) + 1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*names, "features"])
 
-    return rows.select("text", "toxic").mapInArrow(lean(run), "toxic int, features array<double>")
+    schema = ", ".join([*[f"`{n}` {k}" for n, k in zip(names, kinds)], "features array<double>"])
+    return docs.toDF(*names).mapInArrow(lean(run), schema).toDF(*columns, name)
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``toxic_score`` (0 to 1)."""
-    at = docs.columns.index("text")
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
-    if model is None:
-        return docs.withColumn("toxic_score", F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+def _joined_evidence(docs: DataFrame, text: str, known: DataFrame) -> DataFrame:
+    """The same by joins, for a model of any size: every word's units meet the table, windows run over the words of a row."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [m.score(m.features(c)) for c in chunks(batch.column(at), alnum_words(), lower=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*names, "toxic_score"])
+            for c in chunks(batch.column(1), alnum_words(), lower=True):
+                u = unit_hashes(c)
+                row = batch.column(0).slice(c.first, c.rows).to_numpy()[c.doc_of_word()]
+                at = np.arange(len(u)) - np.repeat(c.word_at[:-1], c.counts())
+                k = u.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row, k)), pa.array(np.repeat(at, k)), pa.array(np.tile(np.arange(k, dtype=np.int32), len(u))), pa.array(u.reshape(-1).view(np.int64))], names=["_row", "at", "level", "unit"])
+
+    met = rows.select("_row", text).mapInArrow(lean(units), "_row long, at long, level int, unit long").join(known, "unit", "left")
+    best = F.coalesce(F.min_by("ratio", F.when(F.col("ratio").isNotNull(), F.col("level"))), F.lit(0.0))
+    words = met.groupBy("_row", "at").agg(best.cast("float").cast("double").alias("e"))
+    span = lambda p: F.sum("e").over(Window.partitionBy("_row").orderBy("at").rowsBetween(1 - p, 0))
+    wide = words.select("_row", "at", "e", *[F.when(F.col("at") >= p - 1, span(p)).alias(f"p{p}") for p in PASSAGES])
+    by_row = wide.groupBy("_row").agg(*[(F.coalesce(F.max(f"p{p}"), F.sum("e")) / p).alias(f"p{p}") for p in PASSAGES], F.avg("e").alias("whole"))
+    features = F.array(*[F.coalesce(c, F.lit(0.0)) for c in (*[f"p{p}" for p in PASSAGES], "whole")])
+    return rows.join(by_row, "_row", "left").select(*docs.columns, features.alias("features"))
+
+
+def scored(docs: DataFrame, model: Model | None, name: str = "toxic_score") -> DataFrame:
+    """``docs`` with a score (0 to 1) in a column ``name``, which no column of ``docs`` may have."""
+    if model is None:
+        return docs.withColumn(name, F.lit(0.0))
+    z = F.lit(float(model.weights[0]))
+    for i, w in enumerate(model.weights[1:].tolist()):
+        z = z + F.lit(w) * F.col(name)[i]
+    return evidence(docs, model, name).withColumn(name, 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-40.0)), F.lit(40.0)))))
+
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema], "toxic_score double"])
-    return plain.mapInArrow(lean(run), schema).toDF(*docs.columns, "toxic_score")
+def ordinary(docs: DataFrame, model: Model | None, below: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score less than ``below``."""
+    name = free_name("toxic_score", docs.columns)
+    return scored(docs, model, name).where(F.col(name) < below).drop(name)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
