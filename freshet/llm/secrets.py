@@ -1,14 +1,15 @@
 """Secret scan: fixed patterns, and two character Markov models that tell random strings from identifiers.
 
-Base spans come from three patterns. Beyond them every run of 20 or more characters of the base64 and URL alphabets is scored by
-two first-order Markov models over character classes and characters, one of random strings, one of ordinary identifiers; it is reported as
-``markov`` where the mean log-likelihood ratio per transition passes a threshold and no base span overlaps it.
+Base spans come from three patterns. Beyond them the best-scoring stretches of every run of the base64 and URL alphabets are found: two first-order Markov
+models over characters, one of random strings, one of ordinary identifiers, give each transition a log-likelihood ratio, and a stretch
+is a maximal sum of ratios, which ends where it falls DROP below its peak. So a key is found in a path or behind a name too. A stretch is widened to the nearest separators
+and reported as ``markov`` where it has LEAST_RUN characters, its sum reaches EVIDENCE, its mean MEAN_RATIO, and no base span overlaps it.
 
-The models are trained from labelled samples: pairs (string, is random). The default sample labels generated
-strings (seeded, over the usual key alphabets) as random and words of a bounded number of documents, alone and
-joined to identifiers in the usual ways, as ordinary. Everything else covers all text.
+The models are trained from labelled strings. Random: generated ones (seeded, over the usual key alphabets). Ordinary: the words of all documents,
+counted over whole texts; a word is a run of letters and digits too short to be reported and outside base spans. How words are put
+together to identifiers (by separators, in camel case, in capitals, with a number at the end) follows from how often a character begins and ends a word.
 
-Defined cases: null text is empty and has no spans; repeated rows give equal results; extra columns are ignored.
+Defined cases: null text is empty and has no spans; without any words, a few fixed ones are ordinary; repeated rows give equal results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from freshet.llm._stage import lean, table
 from freshet.llm._words import buffers, row_chunks
 
 KINDS = ("assign", "access", "hex", "markov")
-#: Documents whose words make the ordinary half of the default sample, and words taken in all.
-SAMPLE_DOCS, SAMPLE_WORDS = 300, 40_000
 RANDOM_STRINGS = 6000
-LEAST_RUN, MEAN_RATIO = 20, 0.6
+LEAST_RUN, MEAN_RATIO, EVIDENCE, DROP = 16, 0.6, 16.0, 8.0
 #: Transitions' worth of the single-character model in each row of a Markov model.
-BACKOFF = 8.0
+BACKOFF = 2.0
+#: The weight of identifiers put together from words, against the words themselves.
+JOINED = 0.25
+#: Stands for words where a table has none.
+FEW_WORDS = ("identifier", "value", "name")
 
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -41,34 +44,57 @@ KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 ALPHABET = (string.ascii_letters + string.digits + "+/_=-").encode()
 CODE = np.full(256, 255, np.uint8)
 CODE[list(ALPHABET)] = np.arange(len(ALPHABET))
+END = len(ALPHABET)
+SEPARATORS = [int(CODE[c]) for c in b"_-/"]
 IN_RUN = CODE < 255
+IN_WORD = np.zeros(256, bool)
+IN_WORD[list((string.ascii_letters + string.digits).encode())] = True
 IN_HEX = np.zeros(256, bool)
 IN_HEX[list(b"0123456789abcdef")] = True
 
 
-def labelled_sample(words: Iterable[str], seed: int = 3) -> list[tuple[str, bool]]:
-    """Generated random strings, and ordinary identifiers made of ``words``."""
+def random_strings(seed: int = 3) -> list[str]:
     rng = np.random.Generator(np.random.PCG64(seed))
     letters = np.array(list(string.ascii_letters + string.digits + "+/"))
     alphabets = [letters, letters[:62], np.array(list("0123456789abcdef")), np.array(list("0123456789ABCDEF")), letters[26:62], np.array(list(string.ascii_letters + string.digits + "-_"))]
-    out = [("".join(rng.choice(alphabets[i % len(alphabets)], int(rng.integers(20, 65)))), True) for i in range(RANDOM_STRINGS)]
-    words = [w for w in dict.fromkeys(words) if w]
-    for i, w in enumerate(words):
-        out.append((w, False))
-        more = [words[j] for j in rng.integers(0, len(words), 3)]
-        joined = ("_".join([w, *more]), "-".join([w, *more]), w.lower() + "".join(x.capitalize() for x in more), "/".join([w, *more]), "".join([w, *more]), f"{w}_{i % 100}", "_".join([w, *more]).upper())
-        out.append((joined[i % len(joined)], False))
+    return ["".join(rng.choice(alphabets[i % len(alphabets)], int(rng.integers(20, 65)))) for i in range(RANDOM_STRINGS)]
+
+
+def transitions(texts: Iterable[str]) -> np.ndarray:
+    """How often a character follows another; END stands before the first and after the last of a text."""
+    counts = np.zeros((END + 1, END + 1))
+    for text in texts:
+        code = CODE[np.frombuffer(text.encode("ascii", "ignore"), np.uint8)].astype(np.int64)
+        code = np.r_[END, np.where(code < END, code, END), END]
+        np.add.at(counts, (code[:-1], code[1:]), 1)
+    counts[END, END] = 0
+    return counts
+
+
+def identifiers(words: np.ndarray) -> np.ndarray:
+    """Transitions within ``words`` and within the identifiers that people make of them."""
+    inner, first, last = words[:END, :END], words[END, :END], words[:END, END]
+    n = max(first.sum(), 1.0)
+    out = inner.copy()
+    share = JOINED / len(SEPARATORS)
+    for s in SEPARATORS:
+        out[:, s] += share * last
+        out[s, :] += share * first
+    upper = np.array([CODE[ord(chr(c).upper())] for c in ALPHABET], np.int64)
+    np.add.at(out, (slice(None), upper), JOINED * np.outer(last, first) / n)  # camelCase: the next word's first letter in upper case
+    out += JOINED * np.outer(last, first) / n  # written together
+    capitals = np.zeros_like(out)
+    np.add.at(capitals, (upper[:, None], upper[None, :]), inner)
+    out += JOINED * capitals
+    digits = CODE[list(b"0123456789")].astype(np.int64)
+    out[:, digits] += JOINED * last[:, None] / 10
+    out[digits[:, None], digits[None, :]] += JOINED * n / 100
     return out
 
 
-def fit(sample: Iterable[tuple[str, bool]]) -> np.ndarray:
-    """The table of log-likelihood ratios (random over ordinary) of each transition between two characters."""
-    n = len(ALPHABET)
-    counts = np.zeros((2, n, n))
-    for text, is_random in sample:
-        code = CODE[np.frombuffer(text.encode("ascii", "ignore"), np.uint8)]
-        ok = (code[:-1] < 255) & (code[1:] < 255)
-        np.add.at(counts[int(is_random)], (code[:-1][ok], code[1:][ok]), 1)
+def log_ratios(random: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+    """The log-likelihood ratio (random over ordinary) of each transition between two characters."""
+    counts = np.stack([ordinary, random])
     # Rare transitions lean on how common the character is in the class at all.
     single = counts.sum(axis=1) + 0.5
     single /= single.sum(axis=1, keepdims=True)
@@ -76,16 +102,52 @@ def fit(sample: Iterable[tuple[str, bool]]) -> np.ndarray:
     return np.log(p[1]) - np.log(p[0])
 
 
+def fit(words: Iterable[str]) -> np.ndarray:
+    """The model of ordinary ``words`` against generated strings."""
+    return log_ratios(transitions(random_strings())[:END, :END], identifiers(transitions(words)))
+
+
+def word_transitions(docs: DataFrame) -> np.ndarray:
+    """transitions() of the words of all of ``docs``: a table of fixed size, added up by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((END + 1) ** 2, np.int64)
+        for batch in batches:
+            raw, at = buffers(batch.column(0))
+            for i, j in row_chunks(raw, at):
+                data, doc_at = raw[at[i] : at[j]], at[i : j + 1] - at[i]
+                inside = IN_WORD[data]
+                edge = _edges(len(data), doc_at)
+                start, end = _runs(inside, edge, 1)
+                plain = np.ones(len(data) + 1, bool)
+                for r, spans in enumerate(base_spans(data, doc_at)):
+                    for a, _, b in spans:
+                        plain[doc_at[r] + a : doc_at[r] + b] = False
+                ok = (end - start < LEAST_RUN) & plain[start]
+                start, end = start[ok], end[ok]
+                # Words one after the other, END between them.
+                size = end - start
+                code = np.full(int(size.sum()) + len(size) + 1, END, np.int64)
+                to = np.arange(int(size.sum())) + np.repeat(np.arange(1, len(size) + 1), size)
+                of = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                code[to] = CODE[data[of]]
+                total += np.bincount(code[:-1] * (END + 1) + code[1:], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["pair", "n"])
+
+    summed = docs.select("text").mapInArrow(lean(run), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((END + 1) ** 2)
+    out[summed["pair"].to_numpy()] = summed["n"].to_numpy()
+    out = out.reshape(END + 1, END + 1)
+    out[END, END] = 0
+    return out
+
+
 def default_model(docs: DataFrame) -> np.ndarray:
-    """Fitted on words of SAMPLE_DOCS documents drawn by a hash of their text."""
-    h = F.xxhash64(F.lit(9), "text")
-    drawn = [r[0] for r in docs.where("text IS NOT NULL").select(h.alias("h")).distinct().orderBy("h").limit(SAMPLE_DOCS).collect()]
-    rows = docs.where(h.isin(drawn)).groupBy(h.alias("h")).agg(F.substring(F.min("text"), 1, 20_000).alias("text")).orderBy("h").select("text").collect()
-    words: list[str] = []
-    for (text,) in rows:
-        found = re.findall(r"[A-Za-z0-9]+", ASSIGN.sub(b" ", ACCESS.sub(b" ", text.encode())).decode())
-        words += [w for w in found if len(w) < LEAST_RUN and not re.fullmatch(r"[0-9a-f]{32,}", w)]
-    return fit(labelled_sample(words[:SAMPLE_WORDS] or ["identifier", "value", "name"]))
+    words = word_transitions(docs)
+    if not words.any():
+        words = transitions(FEW_WORDS)
+    return log_ratios(transitions(random_strings())[:END, :END], identifiers(words))
 
 
 def _runs(inside: np.ndarray, edge: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,18 +159,22 @@ def _runs(inside: np.ndarray, edge: np.ndarray, least: int) -> tuple[np.ndarray,
     return start[ok], end[ok]
 
 
-def chunk_spans(data: np.ndarray, doc_at: np.ndarray, ratios: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """(first byte, kind number, last byte + 1) of each row's spans in order; bytes count from the row's first."""
+def _edges(n: int, doc_at: np.ndarray) -> np.ndarray:
+    edge = np.zeros(n + 1, bool)
+    edge[doc_at] = True
+    return edge
+
+
+def base_spans(data: np.ndarray, doc_at: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """(first byte, kind number, last byte + 1) of each row's base spans; bytes count from the row's first."""
     rows = len(doc_at) - 1
     spans: list[list[tuple[int, int, int]]] = [[] for _ in range(rows)]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[doc_at] = True
 
-    def row_of(at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(doc_at, at, "right") - 1
+    def row_of(at: int) -> int:
+        return int(np.searchsorted(doc_at, at, "right")) - 1
 
-    for a, b in zip(*_runs(IN_HEX[data], edge, 32)):
-        r = int(row_of(a))
+    for a, b in zip(*_runs(IN_HEX[data], _edges(len(data), doc_at), 32)):
+        r = row_of(a)
         spans[r].append((int(a - doc_at[r]), 2, int(b - doc_at[r])))
     raw = data.tobytes()
     low = raw.lower()
@@ -116,26 +182,58 @@ def chunk_spans(data: np.ndarray, doc_at: np.ndarray, ratios: np.ndarray) -> lis
     for word in (*KEYWORDS, b"akia"):
         at = low.find(word)
         while at >= 0:
-            r = int(row_of(np.int64(at)))
+            r = row_of(at)
             hot.add(r)
             at = low.find(word, int(doc_at[r + 1]))  # this row is looked at whole
     for r in hot:
         text = raw[doc_at[r] : doc_at[r + 1]]
         spans[r] += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
         spans[r] += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    start, end = _runs(IN_RUN[data], edge, LEAST_RUN)
+    return spans
+
+
+def stretches(step: np.ndarray) -> list[tuple[int, int]]:
+    """The transitions [first, last) of the maximal sums of a run, from left to right, that pass the thresholds."""
+    out, total, first, peak, last = [], 0.0, 0, 0.0, 0
+    for i, x in enumerate([*step.tolist(), -np.inf]):
+        total += x
+        if total > peak:
+            peak, last = total, i + 1
+        elif total <= 0 or total < peak - DROP:
+            if peak >= EVIDENCE and last - first + 1 >= LEAST_RUN and peak >= MEAN_RATIO * (last - first):
+                out.append((first, last))
+            total, first, peak, last = 0.0, i + 1, 0.0, i + 1
+    return out
+
+
+def chunk_spans(data: np.ndarray, doc_at: np.ndarray, ratios: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """(first byte, kind number, last byte + 1) of each row's spans in order; bytes count from the row's first."""
+    spans = base_spans(data, doc_at)
+    start, end = _runs(IN_RUN[data], _edges(len(data), doc_at), LEAST_RUN)
     if len(start):
         code = CODE[data].astype(np.int64)
-        both = (code[:-1] < 255) & (code[1:] < 255)
+        both = (code[:-1] < END) & (code[1:] < END)
         step = np.zeros(len(data))
         step[1:][both] = ratios[code[:-1][both], code[1:][both]]
-        total = np.cumsum(step)
-        mean = (total[end - 1] - total[start]) / (end - start - 1)
-        for a, b in zip(start[mean >= MEAN_RATIO].tolist(), end[mean >= MEAN_RATIO].tolist()):
-            r = int(row_of(np.int64(a)))
-            a, b = int(a - doc_at[r]), int(b - doc_at[r])
-            if all(b <= s or e <= a for s, kind, e in spans[r] if kind < 3):
-                spans[r].append((a, 3, b))
+        gain = np.r_[0.0, np.cumsum(np.maximum(step, 0))]
+        hopeful = gain[end] - gain[start + 1] >= EVIDENCE
+        for a, b in zip(start[hopeful].tolist(), end[hopeful].tolist()):
+            r = int(np.searchsorted(doc_at, a, "right")) - 1
+            base = [(s, e) for s, kind, e in spans[r] if kind < 3]
+            zero = int(doc_at[r])
+            reach = a
+            for x, y in stretches(step[a + 1 : b]):
+                x, y = a + x, a + y + 1
+                # A separator at either end, and a letter beyond it, aren't part of it; the word it begins or ends in is.
+                x += 1 if not IN_WORD[data[x]] else 2 * (not IN_WORD[data[x + 1]])
+                y -= 1 if not IN_WORD[data[y - 1]] else 2 * (not IN_WORD[data[y - 2]])
+                while x > reach and IN_WORD[data[x - 1]]:
+                    x -= 1
+                while y < b and IN_WORD[data[y]]:
+                    y += 1
+                if x >= reach and all(y - zero <= s or e <= x - zero for s, e in base):
+                    spans[r].append((x - zero, 3, y - zero))
+                    reach = y
     return [sorted(s) for s in spans]
 
 
