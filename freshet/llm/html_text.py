@@ -1,10 +1,18 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one decides a block by its link density, length and share of
-stop words, and by where it stands: menus, page headers, footers, side bars, forms and elements named like
-adverts, notices or comments are never content, and an article element vouches for its blocks. Short blocks without
-such a sign stay undecided. In pass two each of these takes the label of the nearest decided block; if both sides
-are as near, a heading follows the block after it and other blocks the one before.
+A page is cut into blocks at block-level tags. Menus, page headers, footers, side bars, forms, hidden elements and elements named like
+adverts, notices or comments are cut out with their blocks first.
+
+Pass one decides a block by its link density, length and share of stop words. Runs of blocks that are mostly links are menus; a lone one is
+left open. Blocks of SHORT characters or more with LOW_STOPS or more stop words are content. Where stop words tell nothing, because less than LOW_STOPS / 2 of all
+the page's words are any (another language, or writing without spaces), length alone is asked for. What is short, or long but poor in stop words, stays open: headings, tables,
+code, lists of names.
+
+Pass two gives each open block the label of the nearest decided block; if both sides are as near, a heading follows the block after it and
+other blocks the one before. Where nothing on the page is content by pass one, its open blocks are: nothing else is.
+
+An article or main element is believed if it holds half of the page's text or more. Blocks outside it are then no content, and within it only a menu's
+heading follows the menu; other open blocks look for the nearest text.
 
 Defined cases: null html is empty and gives empty text; unclosed and stray tags, unclosed comments and scripts are tolerated; a page
 without any content block gives empty text; repeated rows give equal results.
@@ -14,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -58,7 +67,10 @@ TOKEN = re.compile(
 NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[^\W\d_]+")
 
-MAX_LINKS, LONG, SHORT, HIGH_STOPS, LOW_STOPS = 0.33, 200, 70, 0.30, 0.20
+MAX_LINKS, SHORT, LOW_STOPS = 0.33, 70, 0.20
+#: So many neighbouring blocks of links make a menu.
+MENU = 2
+RIGHTS = re.compile(r"\s*(?:\xa9|\(c\)\s|copyright\b)", re.I)
 
 
 @dataclass
@@ -66,10 +78,12 @@ class Block:
     heading: bool
     never: bool
     vouched: bool
+    in_menu: bool = False
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
     label: bool | None = None
+    rule: str = ""
 
 
 def _names_never(rest: str, vouched: bool) -> bool:
@@ -148,52 +162,106 @@ def blocks_of(page: str) -> list[Block]:
     return [b for b in out if b.text]
 
 
-def classify(blocks: list[Block]) -> None:
-    """Label every block: content or not."""
-    for b in blocks:
-        length = len(b.text)
-        links = b.linked / max(1, len(b.text.replace(" ", "")))
-        words = WORDS.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.never or links > MAX_LINKS or (not b.vouched and "\xa9" in b.text):
-            b.label = False
-        elif b.vouched:
-            b.label = True
-        elif length < SHORT:
-            b.label = None
-        elif stops >= HIGH_STOPS:
-            b.label = True if length >= LONG else None
-        elif stops >= LOW_STOPS:
-            b.label = None if length < LONG else True
-        else:
-            b.label = False
-    decided = [i for i, b in enumerate(blocks) if b.label is not None]
-    labels = [b.label for b in blocks]
-    before = -1
+def _stop_share(words: list[str]) -> float:
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def first_pass(blocks: list[Block]) -> None:
+    """Decide what link density, length and stop words decide. ``blocks``: without clutter."""
+    words = [WORDS.findall(b.text.lower()) for b in blocks]
+    told = _stop_share([w for ws in words for w in ws]) >= LOW_STOPS / 2
+    linked = [b.linked > MAX_LINKS * len(b.text.replace(" ", "")) for b in blocks]
+    i = 0
+    while i < len(blocks):
+        j = i
+        while j < len(blocks) and linked[j]:
+            j += 1
+        for b in blocks[i:j] if j - i >= MENU else ():
+            b.label, b.in_menu, b.rule = False, True, "links"
+        i = max(j, i + 1)
+    for b, ws, is_link in zip(blocks, words, linked):
+        if b.in_menu or is_link:
+            continue
+        if not b.vouched and len(b.text) < 2 * SHORT and RIGHTS.match(b.text):
+            b.label, b.rule = False, "rights"
+        elif len(b.text) >= SHORT and (not told or _stop_share(ws) >= LOW_STOPS):
+            b.label, b.rule = True, "stop words" if told else "length"
+
+
+def second_pass(blocks: list[Block]) -> None:
+    """Give open blocks the label of the nearest decided one."""
+    before: list[int | None] = []
+    last = None
     for i, b in enumerate(blocks):
+        before.append(last)
+        last = i if b.label is not None else last
+    labels = [b.label for b in blocks]
+    after = None
+    for i in range(len(blocks) - 1, -1, -1):
+        b, left, right = blocks[i], before[i], after
         if labels[i] is not None:
-            before += 1
+            after = i
             continue
-        left = decided[before] if before >= 0 else None
-        right = decided[before + 1] if before + 1 < len(decided) else None
+        b.rule = "neighbour"
         if left is None and right is None:
-            b.label = len(b.text) >= SHORT
+            b.label, b.rule = True, "nothing decided"
         elif left is None or right is None:
             b.label = labels[right if left is None else left]
-        elif labels[left] == labels[right]:
-            b.label = labels[left]
         elif i - left != right - i:
             b.label = labels[left if i - left < right - i else right]
         else:
             b.label = labels[right if b.heading else left]
 
 
+def classify(blocks: list[Block]) -> None:
+    """Label every block: content or not."""
+    rest = []
+    for b in blocks:
+        if b.never:
+            b.label, b.rule = False, "clutter"
+        else:
+            rest.append(b)
+    size = sum(len(b.text) for b in rest)
+    if 2 * sum(len(b.text) for b in rest if b.vouched) >= size > 0:
+        for b in rest:
+            if not b.vouched:
+                b.label, b.rule = False, "outside the article"
+        rest = [b for b in rest if b.vouched]
+        first_pass(rest)
+        for b, following in zip(rest, rest[1:]):
+            if b.label is None and b.heading and following.in_menu:
+                b.label, b.in_menu, b.rule = False, True, "neighbour"
+        rest = [b for b in rest if not b.in_menu]
+    else:
+        for b in rest:
+            b.vouched = False
+        first_pass(rest)
+        if not any(b.label for b in rest):
+            rest = [b for b in rest if b.label is None]
+    second_pass(rest)
+
+
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     classify(blocks)
     return "\n\n".join(b.text for b in blocks if b.label)
 
 
+def rules(pages: DataFrame, source: str = "html") -> DataFrame:
+    """(rule, label, blocks): how many blocks of all pages each rule has decided, and how."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n: Counter[tuple[str, bool]] = Counter()
+            for p in batch.column(0).to_pylist():
+                blocks = blocks_of(p or "")
+                classify(blocks)
+                n.update((b.rule, bool(b.label)) for b in blocks)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.bool_()), pa.array(list(n.values()), pa.int64())], names=["rule", "label", "blocks"])
+
+    return pages.select(source).mapInArrow(lean(run), "rule string, label boolean, blocks long").groupBy("rule", "label").agg(F.sum("blocks").alias("blocks"))
+
+
 def extract(pages: DataFrame, source: str = "html", text: str = "text") -> DataFrame:
     """``pages`` with the main text in place of the html column."""
     at = pages.columns.index(source)
