@@ -2,14 +2,15 @@
 
 Prefilter: every window of W words is represented by its anchor, the least hash of the K-word grams inside it. Equal windows
 have equal anchors, and neighbouring windows mostly share one, so a document has about 2 / (W - K + 2) anchors per
-word. Each partition counts its anchors (once per document) in count-min sketches of fixed size, one for each block of the
-hash space; the sketches of a block are merged by saturating addition. A cell never holds less than the number of
-documents with an anchor, so a window is estimated repeated wherever it could be. The number of blocks follows the
+word. Each task counts its anchors (once per document) in count-min sketches, one for each block of the
+hash space, with counters that stop at 2; a sketch travels as the lists of its cells at 1 and at 2, so a common anchor takes no more room than a rare one. The sketches of a block are merged by saturating addition. A cell never holds less than the number of
+documents with an anchor (or 2), so a window is estimated repeated wherever it could be. The number of blocks follows the
 number of words, so a block's load, and the share of false alarms, stay the same at every size; blocks are
-joined to the anchors by a shuffle, none is broadcast.
+joined to the anchors by a shuffle, none is broadcast. An anchor that a task meets in two documents is known to be repeated and needs no sketch.
 
 Second pass: only windows whose anchor's estimate is two documents or more are hashed (128 bits) and exactly grouped with the least
-doc_id they start in; a window is repeated if that is smaller than its own document. No repeated window is lost. Later copies of a
+doc_id they start in; a window is repeated if that is smaller than its own document. No repeated window is lost. Each task settles first what its own
+documents tell: of equal windows only the one with the least doc_id goes on, the others are repeated whatever comes. Later copies of a
 whole text need no windows: all their words go if they fill one.
 
 Defined cases: null text has no words; documents shorter than a window keep all; a null doc_id is neither earlier nor
@@ -32,7 +33,7 @@ from freshet.llm._words import Chunk, chunks, joined, mix, ngrams, sliding_min,
 WINDOW, GRAM = 50, 12
 #: A block's sketch: DEPTH rows of CELLS counters that stop at 2. With LOAD anchors a block, a lone anchor is taken for a repeated one in about 0.2 % of cases.
 DEPTH, CELLS, LOAD = 3, 1 << 16, 1 << 13
-#: Anchors that a task gathers before it deals them to blocks.
+#: Anchors that a task gathers before it deals them to blocks, and windows before it settles them.
 GATHER = 1 << 18
 
 
@@ -95,42 +96,49 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
 
 
 def partition_sketches(docs: DataFrame, blocks: int, window: int, gram: int) -> DataFrame:
-    """Per partition and block: the cells hit, a short list of them per anchor rather than a mostly empty table."""
+    """(block, once, often): a task's sketch of each block, as its cells at 1 and at 2; a cell's number counts over the DEPTH rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, anchors in _gathered(batches, window, gram):
-            block = _block(anchors, blocks)
-            order = np.argsort(block, kind="stable")
-            block, cells = block[order], _cells(anchors)[order]
+            block = _block(anchors, blocks).astype(np.int64)
+            cells = _cells(anchors).astype(np.int64) + CELLS * np.arange(DEPTH)
+            key, n = np.unique((block[:, None] * (DEPTH * CELLS) + cells).reshape(-1), return_counts=True)
+            block, cell = (key // (DEPTH * CELLS)).astype(np.int32), (key % (DEPTH * CELLS)).astype("<u4")
             bounds = _runs(block)
-            yield pa.RecordBatch.from_arrays([pa.array(block[bounds[:-1]]), pa.array([cells[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["block", "cells"])
+            lists = [[cell[a:b][chosen[a:b]].tobytes() for a, b in zip(bounds[:-1], bounds[1:])] for chosen in (n == 1, n > 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[bounds[:-1]]), *[pa.array(x, pa.binary()) for x in lists]], names=["block", "once", "often"])
 
-    return docs.mapInArrow(lean(run), "block int, cells binary")
+    return docs.mapInArrow(lean(run), "block int, once binary, often binary")
 
 
 def merged_sketches(parts: DataFrame) -> DataFrame:
     """The merged sketch of each block as bits: which cells count two or more."""
 
     def merge(rows: pa.Table) -> pa.Table:
-        count = np.zeros((DEPTH, CELLS), np.uint8)
-        for chunk in rows["cells"].chunks:
-            for raw in chunk.to_pylist():
-                cells = np.frombuffer(raw, np.uint16).reshape(-1, DEPTH)
-                for r in range(DEPTH):
-                    count[r] = np.minimum(count[r] + np.minimum(np.bincount(cells[:, r], minlength=CELLS), 2), 2)
+        count = np.zeros(DEPTH * CELLS, np.uint8)
+        for once, often in zip(rows["once"].to_pylist(), rows["often"].to_pylist()):
+            at = np.frombuffer(once, "<u4")  # no cell twice
+            count[at] = np.minimum(count[at] + 1, 2)
+            count[np.frombuffer(often, "<u4")] = 2
         return pa.table({"block": pa.array([rows["block"][0].as_py()], pa.int32()), "sketch": pa.array([np.packbits(count >= 2).tobytes()], pa.binary())})
 
     return parts.groupBy("block").applyInArrow(merge, "block int, sketch binary")
 
 
 def repeated_anchors(docs: DataFrame, sketches: DataFrame, blocks: int, window: int, gram: int) -> DataFrame:
-    """(doc_id, anchors): those anchors of each document that are estimated to be in two documents or more."""
+    """(doc_id, anchor): those anchors of each document that are estimated to be in two documents or more."""
 
     def list_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, anchor in _gathered(batches, window, gram):
-            block = _block(anchor, blocks)
+            order = np.argsort(anchor, kind="stable")
+            ids, anchor = ids[order].astype("<i8"), anchor[order]
+            n = np.diff(_runs(anchor))
+            known = np.repeat(n > 1, n)
+            block = np.where(known, -1, _block(anchor, blocks))
+            if known.any():  # blocks without a sketch, a different one for each document
+                block[known] = -1 - (mix(ids[known].view(np.uint64), 53) >> np.uint64(34)).astype(np.int64)
             order = np.argsort(block, kind="stable")
-            ids, anchor, block = ids[order].astype("<i8"), anchor[order], block[order]
+            ids, anchor, block = ids[order], anchor[order], block[order].astype(np.int32)
             bounds = _runs(block)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -145,22 +153,44 @@ def repeated_anchors(docs: DataFrame, sketches: DataFrame, blocks: int, window:
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, anchors = np.frombuffer(batch.column(0)[i].as_py(), "<i8"), np.frombuffer(batch.column(1)[i].as_py(), np.uint64)
-                bits = np.unpackbits(np.frombuffer(batch.column(2)[i].as_py(), np.uint8)).reshape(DEPTH, CELLS)
-                cells = _cells(anchors)
-                hit = np.ones(len(ids), bool)
-                for r in range(DEPTH):
-                    hit &= bits[r][cells[:, r]] == 1
-                if hit.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(anchors[hit].view(np.int64))], names=["doc_id", "anchor"])
+                if batch.column(2)[i].is_valid:
+                    bits = np.unpackbits(np.frombuffer(batch.column(2)[i].as_py(), np.uint8)).reshape(DEPTH, CELLS)
+                    cells = _cells(anchors)
+                    hit = np.ones(len(ids), bool)
+                    for r in range(DEPTH):
+                        hit &= bits[r][cells[:, r]] == 1
+                    ids, anchors = ids[hit], anchors[hit]
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(anchors.view(np.int64))], names=["doc_id", "anchor"])
 
     listed = docs.mapInArrow(lean(list_), "block int, ids binary, anchors binary")
-    return listed.join(sketches, "block").select("ids", "anchors", "sketch").mapInArrow(lean(look_up), "doc_id long, anchor long")
+    return listed.join(sketches, "block", "left").select("ids", "anchors", "sketch").mapInArrow(lean(look_up), "doc_id long, anchor long")
+
+
+def _settled(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which windows (their documents, their hashes as two columns) have an equal one in an earlier document of these."""
+    order = np.lexsort((doc, h[:, 1], h[:, 0]))
+    h, sorted_doc = h[order], doc[order]
+    bounds = _runs_of_rows(h)
+    first = np.repeat(sorted_doc[bounds[:-1]], np.diff(bounds))
+    out = np.zeros(len(doc), bool)
+    out[order] = sorted_doc > first
+    return out
+
+
+def _runs_of_rows(rows: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.flatnonzero((rows[1:] != rows[:-1]).any(axis=1)) + 1, len(rows)]
 
 
 def candidate_runs(candidates: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, doc_id, at, hashes): runs of neighbouring windows of (doc_id, text, anchors) that share a listed anchor, each window as 16 bytes."""
+    """(anchor, doc_id, at, hashes): runs of neighbouring windows of (doc_id, text, anchors) that share a listed anchor, each window as 16 bytes.
+
+    Windows that those gathered with them show to be repeated come as runs without hashes but with their number as ``settled``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[list[np.ndarray]] = []
+        n = rows = 0
         for batch in batches:
             ids = batch.column(0).to_numpy()
             lists = batch.column(2)
@@ -173,25 +203,39 @@ def candidate_runs(candidates: DataFrame, window: int, gram: int) -> DataFrame:
                     a, b = edges[i], edges[i + 1]
                     if a < b:
                         chosen[a:b] = np.isin(anchor[a:b], lists[c.first + i].values.to_numpy().view(np.uint64))
-                if not chosen.any():
-                    continue
-                hashes = np.stack([ngrams(c, window, i)[1][chosen] for i in (0, 1)], 1).tobytes()
-                row, start, anchor = row[chosen], start[chosen], anchor[chosen]
-                new = np.ones(len(row), bool)
-                new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
-                first = np.flatnonzero(new)
-                bounds = [*(16 * first).tolist(), len(hashes)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(anchor[first].view(np.int64)),
-                        pa.array(ids[c.first + row[first]]),
-                        pa.array((start - c.word_at[row])[first].astype(np.int32)),
-                        pa.array([hashes[x:y] for x, y in zip(bounds[:-1], bounds[1:])], pa.binary()),
-                    ],
-                    names=["anchor", "doc_id", "at", "hashes"],
-                )
-
-    return candidates.select("doc_id", "text", "anchors").mapInArrow(lean(run), "anchor long, doc_id long, at int, hashes binary")
+                if chosen.any():
+                    row, start, anchor = row[chosen], start[chosen], anchor[chosen]
+                    found.append([ids[c.first + row], rows + row, start - c.word_at[row], anchor, *[ngrams(c, window, i)[1][chosen] for i in (0, 1)]])
+                    n += len(row)
+                rows += c.rows
+                if n >= GATHER:
+                    yield shipped(found)
+                    found, n = [], 0
+        if found:
+            yield shipped(found)
+
+    def shipped(found: list[list[np.ndarray]]) -> pa.RecordBatch:
+        doc, row, at, anchor, h1, h2 = (np.concatenate(x) for x in zip(*found))
+        h = np.stack([h1, h2], 1)
+        settled = _settled(doc, h)
+        new = np.ones(len(row), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (settled[1:] != settled[:-1])
+        first = np.flatnonzero(new)
+        bounds = [*first.tolist(), len(row)]
+        raw = h.tobytes()
+        done = settled[first]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.where(done, mix(doc[first].astype(np.uint64), 54), anchor[first]).view(np.int64)),  # settled ones go anywhere
+                pa.array(doc[first]),
+                pa.array(at[first].astype(np.int32)),
+                pa.array([b"" if d else raw[16 * x : 16 * y] for x, y, d in zip(bounds[:-1], bounds[1:], done.tolist())], pa.binary()),
+                pa.array(np.where(done, np.diff(bounds), 0).astype(np.int32)),
+            ],
+            names=["anchor", "doc_id", "at", "hashes", "settled"],
+        )
+
+    return candidates.select("doc_id", "text", "anchors").mapInArrow(lean(run), "anchor long, doc_id long, at int, hashes binary, settled int")
 
 
 def repeated_windows(runs: DataFrame) -> DataFrame:
@@ -205,7 +249,9 @@ def repeated_windows(runs: DataFrame) -> DataFrame:
         anchor, seen = None, {}
         for batch in batches:
             docs, starts = [], []
-            for a, doc, at, raw in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+            for a, doc, at, raw, settled in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+                docs += [doc] * settled
+                starts += range(at, at + settled)
                 if a != anchor:
                     anchor, seen = a, {}
                 for k in range(0, len(raw), 16):
