@@ -177,12 +177,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members2 = written(members.join(mates, "rep").select("key", "band", "rep", "mates"), "buckets")
     dropped(members)
 
-    edges, tested, label = [], [], None
+    tested, label = [], None
     for round_ in range(STAR_ROUNDS + 1):
         known = members2 if label is None else members2.join(label.withColumnRenamed("node", "rep"), "rep", "left")
         known = known.withColumn("comp", F.coalesce(F.col("component"), F.col("rep")) if label is not None else F.col("rep"))
         draw = F.struct(F.col("mates") if round_ == 0 else F.xxhash64("rep", F.lit(round_)), "rep", "comp")
         open_ = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(draw).alias("centre")).where("lo < hi")
+        open_ = written(open_, "open")  # a table of its own: Spark can split the crowded buckets of what is joined to it
         if round_ < STAR_ROUNDS:
             pairs = known.join(open_, "key").where("comp != centre.comp").select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")).distinct()
         else:
@@ -193,10 +194,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             pairs = pairs.join(t, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tested.append(pairs)
-        edges.append(written(verify(pairs, texts, k, percent), "links"))
-        links = edges[0]
-        for e in edges[1:]:
-            links = links.union(e)
+        links = verify(pairs, texts, k, percent)
+        if label is not None:  # what is known goes on as stars
+            links = links.union(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
         label = components(links)
     grouped = reps.select("h1", "h2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = prints.select("doc_id", "n_shingles", "h1", "h2").join(grouped, ["h1", "h2"], "left")
