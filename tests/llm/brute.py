@@ -1,8 +1,9 @@
 """Plain versions of the operators, to hold the distributed ones against."""
 
 import hashlib
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -120,3 +121,72 @@ def secrets(text):
     for n, (kind, pattern, ok) in enumerate(SECRETS):
         out += [(m.start(), n, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text or "", re.A) if ok(m)]
     return [x[2] for x in sorted(out)]
+
+
+def kneser_ney(rows, stems=(6, 4), prune=0.3):
+    """rows: (text, toxic), each text once; the evidence of each word of a text as a function, by dictionaries."""
+    pairs = [Counter(), Counter()]
+    for text, toxic in rows:
+        w = ALNUM.findall(low(text))
+        pairs[toxic].update(set(zip([None, *w[:-1]], w)))
+
+    def d_of(counts):
+        n = Counter(v for c in counts for v in c.values())
+        return n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+
+    def ratio(d, t, o, scale, below):
+        return math.log(max(t - d, 0) * scale[1] + d * math.exp(below / 2)) - math.log(max(o - d, 0) * scale[0] + d * math.exp(-below / 2))
+
+    def scales(mass):
+        return [min(mass) / m if m > 0 else 0 for m in mass]
+
+    words = [Counter(v for _, v in c) for c in pairs]
+    said = {}  # what a stem or word says
+    for n in [*sorted(stems), None]:
+        units = words if n is None else [Counter(v.encode()[:n] for v in c) for c in words]
+        d = d_of(units)
+        scale = scales([sum(c.values()) - d * len(c) for c in units])
+        new = {}
+        for u in {*units[0], *units[1]}:
+            key = u.encode() if n is None else u
+            shorter = max((s for s in stems if n is None or s < n), default=None)
+            below = said[shorter][key[:shorter]] if shorter else 0.0
+            r = ratio(d, units[1][u], units[0][u], scale, below)
+            new[u] = r if abs(r - below) >= prune else below
+        said[n] = new
+    d = d_of(pairs)
+    mass = [Counter(), Counter()]
+    for k, c in enumerate(pairs):
+        for (u, _), n in c.items():
+            mass[k][u] += n - d
+    known = {}
+    for u, v in {*pairs[0], *pairs[1]}:
+        t, o = pairs[1][u, v], pairs[0][u, v]
+        if t + o > 1:
+            r = ratio(d, t, o, scales([mass[0][u], mass[1][u]]), said[None][v])
+            if abs(r - said[None][v]) >= prune:
+                known[u, v] = r
+
+    def one(u, v):
+        if (u, v) in known:
+            return known[u, v]
+        if v in said[None]:
+            return said[None][v]
+        for s in sorted(stems, reverse=True):
+            if v.encode()[:s] in said[s]:
+                return said[s][v.encode()[:s]]
+        return 0.0
+
+    def evidence(text):
+        w = ALNUM.findall(low(text))
+        return [one(u, v) for u, v in zip([None, *w[:-1]], w)]
+
+    return evidence
+
+
+def passages(evidence, sizes=(1, 3)):
+    """The best mean over each size, a shorter text filled up with nothing, and the mean over all."""
+    out = []
+    for p in sizes:
+        out.append(max(sum(evidence[i : i + p]) for i in range(len(evidence) - p + 1)) / p if len(evidence) >= p else sum(evidence) / p)
+    return [*out, sum(evidence) / max(1, len(evidence))]
