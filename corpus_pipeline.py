@@ -19,7 +19,7 @@ TOXIC_FROM = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the Kneser-Ney models score as toxic."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where(F.col("toxic_score") < TOXIC_FROM).select(docs.columns)
+    return toxicity.ordinary(docs, model, TOXIC_FROM)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
