@@ -1,9 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Both classes, toxic and ordinary, have a model of words given the word before, which backs off from the pair of words to the
-word and on to the first 6 and 4 bytes of it. The counts are Kneser-Ney's: a pair counts the texts that hold it, a word the different words before
+word and on to its stem, the first STEM bytes. The counts are Kneser-Ney's: a pair counts the texts that hold it, a word the different words before
 it, a stem the different words that begin with it; so a passage that is copied often counts once for most of its words. Each level's discount D is n1 / (n1 + 2 n2) of
-its own counts of counts. Both classes are brought to the same discounted mass (for pairs, the mass after one word), and what the discount takes from a unit goes back to it
+its own counts of counts. Both classes are brought to the same mass (words and stems: what the discount leaves; pairs: the texts' pairs that end in the word before), and what the discount takes from a unit goes back to it
 in both classes alike, as one backoff count of D, tilted by what the level below says. The normalisers then cancel, and of a unit with discounted counts t and o in the two classes the ratio of log-likelihoods is
 
     ratio = ln(t + D * exp(below / 2)) - ln(o + D * exp(-below / 2))
@@ -14,8 +14,8 @@ A text's evidence is the difference of the classes' log-likelihoods divided by l
 words. A logistic calibration turns these into the score; it grows with each of them unless the calibration rows say otherwise.
 
 Labels are learnt from all rows with crc32(doc_id) mod 5 in 1 to 3 (the counts; grouped and joined, never collected), and the calibration from at most CALIBRATION_ROWS
-rows with 4, drawn by a hash of doc_id. Scores use the text alone. A model of at most MODEL_BYTES is broadcast; a larger one is joined to the words of the
-texts. Both ways give the same scores.
+rows with 4, drawn by a hash of doc_id. Scores use the text alone. Labels of at most LABEL_BYTES are broadcast to find their texts, others joined. A model of at most MODEL_BYTES is broadcast; a larger one is joined to the words of the
+texts. Either way the scores are the same.
 
 Defined cases: null and empty text have no evidence and get the calibration's base score; a null doc_id counts as not held out; without
 labels of both classes every score is 0; without both among the calibration rows, fixed weights hold; contradicting labels of one doc_id, or of one text, count as
@@ -33,48 +33,66 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from freshet.llm._stage import dropped, free_name, lean, table, trim, written
-from freshet.llm._words import Chunk, alnum_words, chunks, hash_spans, mix
+from freshet.llm._words import Chunk, alnum_words, chunks, mix
 
-#: Lengths in bytes of the stems a word backs off to.
-STEMS = (6, 4)
+#: Bytes of a word's stem; they are the upper part of its number.
+STEM = 5
 PASSAGES = (1, 3)
 PRUNE = 0.3
 CALIBRATION_ROWS = 20_000
-MODEL_BYTES = 64 << 20
+MODEL_BYTES = LABEL_BYTES = 64 << 20
 #: Without calibration rows of both classes: base, passages, whole text.
 FIXED_WEIGHTS = (-6.0, 1.5, 0.0, 0.0)
-#: The word before the first.
-START = np.uint64(0x5EED)
-#: Words whose pairs a task counts together before it ships them.
+#: Stands before the first word.
+START = -1
+#: Pairs a task counts together before it ships them.
 GATHER = 1 << 20
-LEVELS = ("pair", "word", *[f"s{n}" for n in STEMS])
+LEVELS = ("pair", "word", "stem")
 
 
 def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(-1))
 
 
-def word_before(c: Chunk) -> np.ndarray:
-    out = np.empty_like(c.hashes)
-    out[1:] = c.hashes[:-1]
-    first = c.word_at[:-1]
-    out[first[c.counts() > 0]] = START
-    return out
+def word_numbers(c: Chunk) -> np.ndarray:
+    """A number for each word: STEM bytes of it, then 24 bits of its hash."""
+    out = np.zeros(len(c.hashes), np.uint64)
+    for k in range(STEM):
+        byte = np.where(c.start + k < c.end, c.data[np.minimum(c.start + k, len(c.data) - 1)], 0) if len(c.data) else out
+        out = (out << np.uint64(8)) | byte.astype(np.uint64)
+    return (out << np.uint64(24)) | (c.hashes & np.uint64(0xFFFFFF))
+
+
+def _as_before(word: Column) -> Column:
+    return (word.bitwiseAND(0xFFFFFF) + F.shiftleft(F.shiftrightunsigned(word, 24) % 251, 24)).cast("long")
 
 
-def stem_hashes(c: Chunk) -> list[np.ndarray]:
-    """Hashes of each word's stems; a stem as long as the word is the word with a mark of its level."""
-    return [hash_spans(c.data, c.start, np.minimum(c.start + n, c.end)) ^ np.uint64(n << 56) for n in STEMS]
+def words_before(c: Chunk, word: np.ndarray) -> np.ndarray:
+    """The word before each, in 32 bits: enough to tell those of one word apart."""
+    short = ((word & np.uint64(0xFFFFFF)) + (((word >> np.uint64(24)) % np.uint64(251)) << np.uint64(24))).astype(np.int64)
+    out = np.full(len(word), START, np.int64)
+    out[1:] = short[:-1]
+    out[c.word_at[:-1][c.counts() > 0]] = START
+    return out
 
 
-def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(mix(before, 61) + word, 62)
+        return mix(mix(before.astype(np.int64).view(np.uint64), 61) + word, 62)
+
+
+def word_keys(word: np.ndarray) -> np.ndarray:
+    return mix(word, 63)
 
 
-def unit_hashes(c: Chunk) -> np.ndarray:
+def stem_keys(stem: np.ndarray) -> np.ndarray:
+    return mix(stem, 64)
+
+
+def unit_keys(c: Chunk) -> np.ndarray:
     """The unit of every level at each word: words x LEVELS."""
-    return np.stack([pair_hash(word_before(c), c.hashes), c.hashes, *stem_hashes(c)], 1)
+    word = word_numbers(c)
+    return np.stack([pair_keys(words_before(c, word), word), word_keys(word), stem_keys(word >> np.uint64(24))], 1)
 
 
 @dataclass
@@ -101,7 +119,7 @@ class Model:
     def features(self, c: Chunk) -> np.ndarray:
         """The best means over PASSAGES words, and the mean over all, of each row; a shorter text counts as filled up with words that say nothing."""
         counts = c.counts()
-        sums = np.r_[0.0, np.cumsum(self.evidence(unit_hashes(c)))]
+        sums = np.r_[0.0, np.cumsum(self.evidence(unit_keys(c)))]
         total = sums[c.word_at[1:]] - sums[c.word_at[:-1]]
         out = np.zeros((c.rows, len(PASSAGES) + 1))
         out[:, -1] = total / np.maximum(counts, 1)
@@ -129,7 +147,6 @@ class Model:
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, h, toxic, fold): one labelled row of each text (h: its hash), from the folds open to learning; written."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("fold", fold(F.col("doc_id")).cast("int")).where("fold > 0")
-    # The labels are written first: their size then tells Catalyst whether to broadcast them or to shuffle both sides.
     known = written(known, "labels")
     keyed = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n")).join(known, "doc_id")
     one = keyed.groupBy("h", "n").agg(F.min(F.struct("doc_id", "fold")).alias("r"), F.max("toxic").alias("toxic"))
@@ -138,62 +155,76 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """(before, word, t, o): texts of each class with the pair. ``texts``: (text, toxic)."""
+def counts(texts: DataFrame) -> DataFrame:
+    """What all pairs of ``texts`` (text, toxic) come to, as parts that add up: rows with ``before`` are the pairs that two texts or more hold, with the texts of each class (t, o);
+    rows without it are words, with their different words before (t, o), their pairs in all (nt, no), and how many of these counts are 1 and 2 (ones, twos).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each pair is in one partition of Spark's grouping; so only its partition's sums go on, not the pairs.
+    """
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         n = 0
         for batch in batches:
             for c in chunks(batch.column(0), alnum_words(), lower=True):
                 label = batch.column(1).slice(c.first, c.rows).to_numpy(zero_copy_only=False)
-                row = c.doc_of_word()
-                part = np.stack([word_before(c), c.hashes, row.astype(np.uint64), label[row].astype(np.uint64)], 1)
-                order = np.lexsort((part[:, 1], part[:, 0], part[:, 2]))
-                part = part[order]
-                new = np.ones(len(part), bool)
-                new[1:] = (part[1:, :3] != part[:-1, :3]).any(axis=1)  # once a text
-                held.append(part[new][:, [0, 1, 3]])
-                n += int(new.sum())
+                row, word = c.doc_of_word(), word_numbers(c)
+                before = words_before(c, word)
+                order = np.lexsort((word, before, row))
+                row, word, before = row[order], word[order], before[order]
+                new = np.ones(len(row), bool)  # once a text
+                new[1:] = (word[1:] != word[:-1]) | (before[1:] != before[:-1]) | (row[1:] != row[:-1])
+                held.append(np.stack([before[new], word[new].view(np.int64), label[row[new]].astype(np.int64)], 1))
+                n += len(held[-1])
                 if n >= GATHER:
-                    yield _summed(held)
+                    yield shipped(held)
                     held, n = [], 0
         if n:
-            yield _summed(held)
-
-    shipped = texts.select("text", "toxic").mapInArrow(lean(run), "before long, word long, t int, o int")
-    return shipped.groupBy("before", "word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-
+            yield shipped(held)
 
-def _summed(held: list[np.ndarray]) -> pa.RecordBatch:
-    part = np.concatenate(held)
-    part = part[np.lexsort((part[:, 1], part[:, 0]))]
-    first = np.flatnonzero(np.r_[True, (part[1:, :2] != part[:-1, :2]).any(axis=1)])
-    n = np.diff(np.r_[first, len(part)])
-    t = np.add.reduceat(part[:, 2].astype(np.int64), first)
-    return pa.RecordBatch.from_arrays([pa.array(part[first, 0].view(np.int64)), pa.array(part[first, 1].view(np.int64)), pa.array(t, pa.int32()), pa.array(n - t, pa.int32())], names=["before", "word", "t", "o"])
+    def shipped(held: list[np.ndarray]) -> pa.RecordBatch:
+        part = np.concatenate(held)
+        part = part[np.lexsort((part[:, 1], part[:, 0]))]
+        first = np.flatnonzero(np.r_[True, (part[1:, :2] != part[:-1, :2]).any(axis=1)])
+        n = np.diff(np.r_[first, len(part)])
+        toxic = np.add.reduceat(part[:, 2], first)
+        return pa.RecordBatch.from_arrays([pa.array(part[first, 0]), pa.array(part[first, 1]), pa.array((toxic << 32) + n - toxic)], names=["before", "word", "n"])
 
-
-def stems_of(texts: DataFrame) -> DataFrame:
-    """(word, a column for each stem) of the words of ``texts``."""
-    names = LEVELS[2:]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
         for batch in batches:
-            for c in chunks(batch.column(0), alnum_words(), lower=True):
-                word, first = np.unique(c.hashes, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *[pa.array(s[first].view(np.int64)) for s in stem_hashes(c)]], names=["word", *names])
+            held.append(np.stack([batch.column(i).to_numpy() for i in range(3)], 1))
+            n += len(held[-1])
+            if n >= GATHER:
+                yield summed(held)
+                held, n = [], 0
+        if n:
+            yield summed(held)
+
+    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
+        before, word, n = np.concatenate(held).T
+        t, o = n >> 32, n & 0xFFFFFFFF
+        some = t + o > 1
+        order = np.argsort(word, kind="stable")
+        first = np.flatnonzero(np.r_[True, word[order][1:] != word[order][:-1]])
+        by_word = [np.add.reduceat(x[order].astype(np.int64), first) for x in (t > 0, o > 0, t, o, (t == 1).astype(np.int64) + (o == 1), (t == 2).astype(np.int64) + (o == 2))]
+        none = np.zeros(int(some.sum()), np.int64)
+        columns = [np.r_[a, b] for a, b in zip([word[some], t[some], o[some], none, none, none, none], [word[order][first], *by_word])]
+        where = pa.concat_arrays([pa.array(before[some]), pa.nulls(len(first), pa.int64())])
+        return pa.RecordBatch.from_arrays([where, *map(pa.array, columns)], names=["before", "word", "t", "o", "nt", "no", "ones", "twos"])
 
-    return texts.select("text").mapInArrow(lean(run), ", ".join(["word long", *[f"{s} long" for s in names]])).distinct()
+    grouped = texts.select("text", "toxic").mapInArrow(lean(pairs), "before long, word long, n long").groupBy("before", "word").agg(F.sum("n").alias("n"))
+    return grouped.mapInArrow(lean(parts), "before long, word long, t long, o long, nt long, no long, ones long, twos long")
 
 
 # Ratios
 
 
-def _discount(counts: DataFrame) -> tuple[float, float, float]:
+def _discount(level: DataFrame) -> tuple[float, float, float]:
     """(D, discounted mass of toxic, of ordinary counts) of a level."""
     one = lambda k: (F.col("t") == k).cast("long") + (F.col("o") == k).cast("long")
-    r = counts.agg(F.sum(one(1)).alias("n1"), F.sum(one(2)).alias("n2"), F.sum("t").alias("t"), F.sum("o").alias("o"), F.count_if(F.col("t") > 0).alias("kt"), F.count_if(F.col("o") > 0).alias("ko")).first()
+    r = level.agg(F.sum(one(1)).alias("n1"), F.sum(one(2)).alias("n2"), F.sum("t").alias("t"), F.sum("o").alias("o"), F.count_if(F.col("t") > 0).alias("kt"), F.count_if(F.col("o") > 0).alias("ko")).first()
     d = discount(r["n1"] or 0, r["n2"] or 0)
     return d, (r["t"] or 0) - d * r["kt"], (r["o"] or 0) - d * r["ko"]
 
@@ -213,36 +244,31 @@ def _scales(mass_t: Column, mass_o: Column) -> tuple[Column, Column]:
     return tuple(F.when(m > 0, least / m).otherwise(0.0) for m in (mass_t, mass_o))
 
 
-def ratios(pairs: DataFrame, stems: DataFrame) -> DataFrame:
-    """(level, before, unit, ratio, below) of all units; ``before`` is the word before in pairs and 0 in others."""
-    words = written(pairs.groupBy("word").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o")).join(stems, "word"), "words")
-    shown = lambda df, name: df.select(F.lit(name).alias("level"), F.lit(0).cast("long").alias("before"), F.col(name).alias("unit"), "ratio", "below")
-    parts, below, shorter = [], None, None
-    for stem in reversed(LEVELS[2:]):  # from the shortest
-        counts = words.groupBy(stem, *([shorter] if shorter else [])).agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o"))
-        below, shorter = _level(counts, below, shorter), stem
-        parts.append(shown(below, stem))
-    known = _level(words.select("word", shorter, "t", "o"), below, shorter)
-    parts.append(shown(known, "word"))
-    d, _, _ = _discount(pairs)
-    mass = pairs.groupBy("before").agg((F.sum("t") - d * F.count_if(F.col("t") > 0)).alias("mt"), (F.sum("o") - d * F.count_if(F.col("o") > 0)).alias("mo"))
-    often = pairs.where("t + o > 1").join(known.select("word", F.col("says").alias("below")), "word").join(mass, "before")
-    parts.append(often.select(F.lit("pair").alias("level"), "before", F.col("word").alias("unit"), _ratio(d, *_scales(F.col("mt"), F.col("mo")), F.col("below")).alias("ratio"), "below"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _level(counts: DataFrame, below: DataFrame | None, shorter: str | None) -> DataFrame:
-    """``counts`` with what the level below says (0 under the shortest), the ratio, and what the unit says after pruning; written."""
-    d, mass_t, mass_o = _discount(counts)
-    if below is None:
-        counts = counts.withColumn("below", F.lit(0.0))
-    else:
-        counts = counts.join(below.select(shorter, F.col("says").alias("below")), shorter)
-    own = counts.withColumn("ratio", _ratio(d, *_scales(F.lit(float(mass_t)), F.lit(float(mass_o))), F.col("below")))
-    return written(own.withColumn("says", F.when(_tells(), F.col("ratio")).otherwise(F.col("below"))), "level")
+def ratios(parts: DataFrame) -> DataFrame:
+    """(level, before, unit, ratio, below) of all units of counts()."""
+    sums = [F.sum(c).alias(c) for c in ("t", "o", "nt", "no", "ones", "twos")]
+    words = written(parts.where("before IS NULL").groupBy("word").agg(*sums).withColumn("stem", F.shiftrightunsigned("word", 24)), "words")
+    stems = _level(words.groupBy("stem").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o")).withColumn("below", F.lit(0.0)))[0]
+    known, scale_t, scale_o = _level(words.join(stems.select("stem", F.col("says").alias("below")), "stem"))
+    mass = known.groupBy(_as_before(F.col("word")).alias("before")).agg(F.sum("nt").alias("mt"), F.sum("no").alias("mo"))
+    n = words.agg(F.sum("ones"), F.sum("twos")).first()
+    d = discount(n[0] or 0, n[1] or 0)
+    # A pair's partition is one, so its row is whole.
+    often = parts.where("before IS NOT NULL").join(known.select("word", F.col("says").alias("below")), "word").join(mass, "before", "left")
+    scales = [F.when(F.col("before") == START, F.lit(whole)).otherwise(s) for whole, s in zip((scale_t, scale_o), _scales(F.col("mt"), F.col("mo")))]
+    pairs = often.withColumn("ratio", _ratio(d, *scales, F.col("below")))
+    shown = lambda df, level, before, unit: df.select(F.lit(level).alias("level"), before.alias("before"), F.col(unit).alias("unit"), "ratio", "below")
+    none = F.lit(0).cast("long")
+    return shown(pairs, "pair", F.col("before"), "word").unionByName(shown(known, "word", none, "word")).unionByName(shown(stems, "stem", none, "stem"))
+
+
+def _level(level: DataFrame) -> tuple[DataFrame, float, float]:
+    """``level`` (t, o, below) with the ratio and what the unit says after pruning, written; and the scales of both classes."""
+    d, mass_t, mass_o = _discount(level)
+    least = min(mass_t, mass_o)
+    scale_t, scale_o = (least / m if m > 0 else 0.0 for m in (mass_t, mass_o))
+    own = level.withColumn("ratio", _ratio(d, F.lit(scale_t), F.lit(scale_o), F.col("below")))
+    return written(own.withColumn("says", F.when(_tells(), F.col("ratio")).otherwise(F.col("below"))), "level"), scale_t, scale_o
 
 
 def _tells() -> Column:
@@ -250,15 +276,16 @@ def _tells() -> Column:
 
 
 def pruned(all_: DataFrame) -> DataFrame:
-    """(unit, ratio) of the units that say more than the level below; pairs by their hash, as in unit_hashes()."""
+    """(unit, ratio) of the units that say more than the level below, by their keys, as in unit_keys()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            before, unit = (b.column(i).to_numpy().view(np.uint64) for i in (1, 2))
-            is_pair = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(is_pair, pair_hash(before, unit), unit).view(np.int64)), b.column(3)], names=["unit", "ratio"])
+            level = np.array(b.column(0).to_pylist(), object)
+            before, unit = b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)
+            key = np.where(level == "pair", pair_keys(before, unit), np.where(level == "word", word_keys(unit), stem_keys(unit)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.uint64).view(np.int64)), b.column(3)], names=["unit", "ratio"])
 
-    kept = all_.where(_tells()).select((F.col("level") == "pair").alias("pair"), "before", "unit", "ratio")
+    kept = all_.where(_tells()).select("level", "before", "unit", "ratio")
     return kept.mapInArrow(lean(run), "unit long, ratio double").groupBy("unit").agg(F.max("ratio").alias("ratio"))
 
 
@@ -279,14 +306,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, model_bytes: int = MODEL_BYTES) -> Model | None:
     """Fit on the labelled rows; None without documents of both classes."""
     chosen = labelled(docs, labels)
-    texts = docs.where("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("h")).join(chosen, ["doc_id", "h"])
-    learn = texts.where("fold < 4").select("text", "toxic")
-    pairs = written(pair_counts(learn), "pairs")
-    seen = pairs.agg(F.sum("t"), F.sum("o")).first()
+    few = chosen.count() * 32 <= LABEL_BYTES
+    texts = docs.where("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(chosen) if few else chosen, ["doc_id", "h"])
+    parts = written(counts(texts.where("fold < 4")), "counts")
+    seen = parts.where("before IS NULL").agg(F.sum("nt"), F.sum("no")).first()
     if not seen[0] or not seen[1]:
         return None
-    known = written(pruned(ratios(pairs, stems_of(learn))), "model")
-    dropped(pairs)
+    known = written(pruned(ratios(parts)), "model")
+    dropped(parts)
     model = Model(np.zeros(0, np.uint64), np.zeros(0))
     if known.count() * 12 <= model_bytes:
         got = known.toArrow()
@@ -337,7 +364,7 @@ def _joined_evidence(docs: DataFrame, text: str, known: DataFrame) -> DataFrame:
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1), alnum_words(), lower=True):
-                u = unit_hashes(c)
+                u = unit_keys(c)
                 row = batch.column(0).slice(c.first, c.rows).to_numpy()[c.doc_of_word()]
                 at = np.arange(len(u)) - np.repeat(c.word_at[:-1], c.counts())
                 k = u.shape[1]
