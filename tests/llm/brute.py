@@ -123,7 +123,7 @@ def secrets(text):
     return [x[2] for x in sorted(out)]
 
 
-def kneser_ney(rows, stems=(6, 4), prune=0.3):
+def kneser_ney(rows, stem=5, prune=0.3):
     """rows: (text, toxic), each text once; the evidence of each word of a text as a function, by dictionaries."""
     pairs = [Counter(), Counter()]
     for text, toxic in rows:
@@ -140,46 +140,35 @@ def kneser_ney(rows, stems=(6, 4), prune=0.3):
     def scales(mass):
         return [min(mass) / m if m > 0 else 0 for m in mass]
 
-    words = [Counter(v for _, v in c) for c in pairs]
-    said = {}  # what a stem or word says
-    for n in [*sorted(stems), None]:
-        units = words if n is None else [Counter(v.encode()[:n] for v in c) for c in words]
+    def level(units, below):
         d = d_of(units)
         scale = scales([sum(c.values()) - d * len(c) for c in units])
-        new = {}
+        said = {}
         for u in {*units[0], *units[1]}:
-            key = u.encode() if n is None else u
-            shorter = max((s for s in stems if n is None or s < n), default=None)
-            below = said[shorter][key[:shorter]] if shorter else 0.0
-            r = ratio(d, units[1][u], units[0][u], scale, below)
-            new[u] = r if abs(r - below) >= prune else below
-        said[n] = new
+            r = ratio(d, units[1][u], units[0][u], scale, below(u))
+            said[u] = r if abs(r - below(u)) >= prune else below(u)
+        return said, scale
+
+    cut = lambda v: v.encode()[:stem]
+    words = [Counter(v for _, v in c) for c in pairs]
+    stems, _ = level([Counter(map(cut, c)) for c in words], lambda u: 0.0)
+    said, whole = level(words, lambda u: stems[cut(u)])
     d = d_of(pairs)
     mass = [Counter(), Counter()]
     for k, c in enumerate(pairs):
-        for (u, _), n in c.items():
-            mass[k][u] += n - d
+        for (_, v), n in c.items():
+            mass[k][v] += n
     known = {}
     for u, v in {*pairs[0], *pairs[1]}:
         t, o = pairs[1][u, v], pairs[0][u, v]
         if t + o > 1:
-            r = ratio(d, t, o, scales([mass[0][u], mass[1][u]]), said[None][v])
-            if abs(r - said[None][v]) >= prune:
+            r = ratio(d, t, o, whole if u is None else scales([mass[0][u], mass[1][u]]), said[v])
+            if abs(r - said[v]) >= prune:
                 known[u, v] = r
 
-    def one(u, v):
-        if (u, v) in known:
-            return known[u, v]
-        if v in said[None]:
-            return said[None][v]
-        for s in sorted(stems, reverse=True):
-            if v.encode()[:s] in said[s]:
-                return said[s][v.encode()[:s]]
-        return 0.0
-
     def evidence(text):
         w = ALNUM.findall(low(text))
-        return [one(u, v) for u, v in zip([None, *w[:-1]], w)]
+        return [known.get((u, v), said.get(v, stems.get(cut(v), 0.0))) for u, v in zip([None, *w[:-1]], w)]
 
     return evidence
 
