@@ -9,8 +9,9 @@ number of words, so a block's load, and the share of false alarms, stay the same
 joined to the anchors by a shuffle, none is broadcast. An anchor that a task meets in two documents is known to be repeated and needs no sketch.
 
 Second pass: only windows whose anchor's estimate is two documents or more are hashed (128 bits) and exactly grouped with the least
-doc_id they start in; a window is repeated if that is smaller than its own document. No repeated window is lost. Each task settles first what its own
-documents tell: of equal windows only the one with the least doc_id goes on, the others are repeated whatever comes. Later copies of a
+doc_id they start in; a window is repeated if that is smaller than its own document. No repeated window is lost. They are dealt by their own hashes, so a common
+passage with different words around it needn't meet in one task, and each task settles first what its own
+documents tell: of equal windows only those of the least doc_id go on, the others are repeated whatever comes. Later copies of a
 whole text need no windows: all their words go if they fill one.
 
 Defined cases: null text has no words; documents shorter than a window keep all; a null doc_id is neither earlier nor
@@ -167,30 +168,15 @@ def repeated_anchors(docs: DataFrame, sketches: DataFrame, blocks: int, window:
     return listed.join(sketches, "block", "left").select("ids", "anchors", "sketch").mapInArrow(lean(look_up), "doc_id long, anchor long")
 
 
-def _settled(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which windows (their documents, their hashes as two columns) have an equal one in an earlier document of these."""
-    order = np.lexsort((doc, h[:, 1], h[:, 0]))
-    h, sorted_doc = h[order], doc[order]
-    bounds = _runs_of_rows(h)
-    first = np.repeat(sorted_doc[bounds[:-1]], np.diff(bounds))
-    out = np.zeros(len(doc), bool)
-    out[order] = sorted_doc > first
-    return out
-
-
-def _runs_of_rows(rows: np.ndarray) -> np.ndarray:
-    return np.r_[0, np.flatnonzero((rows[1:] != rows[:-1]).any(axis=1)) + 1, len(rows)]
-
-
-def candidate_runs(candidates: DataFrame, window: int, gram: int) -> DataFrame:
-    """(anchor, doc_id, at, hashes): runs of neighbouring windows of (doc_id, text, anchors) that share a listed anchor, each window as 16 bytes.
+def candidate_windows(candidates: DataFrame, blocks: int, window: int, gram: int) -> DataFrame:
+    """(block, hashes, docs, at): the windows of (doc_id, text, anchors) that have a listed anchor, 16 bytes each with their documents and places, by blocks of the hash space.
 
-    Windows that those gathered with them show to be repeated come as runs without hashes but with their number as ``settled``.
+    Of equal windows that a task gathers together, only those of the least doc_id go to their block. The others are repeated whatever comes, and go without hashes to a block below 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[list[np.ndarray]] = []
-        n = rows = 0
+        n = 0
         for batch in batches:
             ids = batch.column(0).to_numpy()
             lists = batch.column(2)
@@ -204,10 +190,9 @@ def candidate_runs(candidates: DataFrame, window: int, gram: int) -> DataFrame:
                     if a < b:
                         chosen[a:b] = np.isin(anchor[a:b], lists[c.first + i].values.to_numpy().view(np.uint64))
                 if chosen.any():
-                    row, start, anchor = row[chosen], start[chosen], anchor[chosen]
-                    found.append([ids[c.first + row], rows + row, start - c.word_at[row], anchor, *[ngrams(c, window, i)[1][chosen] for i in (0, 1)]])
+                    row, start = row[chosen], start[chosen]
+                    found.append([ids[c.first + row], (start - c.word_at[row]).astype(np.int32), *[ngrams(c, window, i)[1][chosen] for i in (0, 1)]])
                     n += len(row)
-                rows += c.rows
                 if n >= GATHER:
                     yield shipped(found)
                     found, n = [], 0
@@ -215,52 +200,43 @@ def candidate_runs(candidates: DataFrame, window: int, gram: int) -> DataFrame:
             yield shipped(found)
 
     def shipped(found: list[list[np.ndarray]]) -> pa.RecordBatch:
-        doc, row, at, anchor, h1, h2 = (np.concatenate(x) for x in zip(*found))
+        doc, at, h1, h2 = (np.concatenate(x) for x in zip(*found))
         h = np.stack([h1, h2], 1)
-        settled = _settled(doc, h)
-        new = np.ones(len(row), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (settled[1:] != settled[:-1])
-        first = np.flatnonzero(new)
-        bounds = [*first.tolist(), len(row)]
-        raw = h.tobytes()
-        done = settled[first]
+        later = _later(doc, h)
+        block = np.where(later, -1 - (mix(h1[:1], len(doc)) >> np.uint64(34)).astype(np.int64), (mix(h1, 54) % np.uint64(blocks)).astype(np.int64))
+        order = np.argsort(block, kind="stable")
+        doc, at, h, block = doc[order], at[order], h[order], block[order].astype(np.int32)
+        bounds = _runs(block)
+        parts = list(zip(bounds[:-1], bounds[1:]))
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.where(done, mix(doc[first].astype(np.uint64), 54), anchor[first]).view(np.int64)),  # settled ones go anywhere
-                pa.array(doc[first]),
-                pa.array(at[first].astype(np.int32)),
-                pa.array([b"" if d else raw[16 * x : 16 * y] for x, y, d in zip(bounds[:-1], bounds[1:], done.tolist())], pa.binary()),
-                pa.array(np.where(done, np.diff(bounds), 0).astype(np.int32)),
-            ],
-            names=["anchor", "doc_id", "at", "hashes", "settled"],
+            [pa.array(block[bounds[:-1]]), *[pa.array([b"" if skip and block[a] < 0 else x[a:b].tobytes() for a, b in parts], pa.binary()) for x, skip in ((h, True), (doc, False), (at, False))]],
+            names=["block", "hashes", "docs", "at"],
         )
 
-    return candidates.select("doc_id", "text", "anchors").mapInArrow(lean(run), "anchor long, doc_id long, at int, hashes binary, settled int")
+    return candidates.select("doc_id", "text", "anchors").mapInArrow(lean(run), "block int, hashes binary, docs binary, at binary")
 
 
-def repeated_windows(runs: DataFrame) -> DataFrame:
-    """(doc_id, at): the windows whose words start in an earlier document too.
+def _later(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which windows have an equal one in an earlier document of these."""
+    order = np.lexsort((doc, h[:, 1], h[:, 0]))
+    h, sorted_doc = h[order], doc[order]
+    bounds = np.r_[0, np.flatnonzero((h[1:] != h[:-1]).any(axis=1)) + 1, len(h)]
+    out = np.zeros(len(doc), bool)
+    out[order] = sorted_doc > np.repeat(sorted_doc[bounds[:-1]], np.diff(bounds))
+    return out
 
-    Equal windows have equal anchors, so runs are dealt by anchor and read in order of doc_id. What is kept of an anchor are its different windows with
-    the first document of each; copies, however many, pass by.
-    """
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, seen = None, {}
-        for batch in batches:
-            docs, starts = [], []
-            for a, doc, at, raw, settled in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                docs += [doc] * settled
-                starts += range(at, at + settled)
-                if a != anchor:
-                    anchor, seen = a, {}
-                for k in range(0, len(raw), 16):
-                    if seen.setdefault(raw[k : k + 16], doc) < doc:
-                        docs.append(doc)
-                        starts.append(at + k // 16)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int32())], names=["doc_id", "at"])
+def repeated_windows(windows: DataFrame) -> DataFrame:
+    """(doc_id, at): the windows whose words start in an earlier document too. A block holds about as many windows at any size of the table; common ones come once from each task."""
+
+    def group(rows: pa.Table) -> pa.Table:
+        doc, at, h = (np.concatenate([np.frombuffer(x, kind) for x in rows[name].to_pylist()]) for name, kind in (("docs", "<i8"), ("at", "<i4"), ("hashes", "<u8")))
+        if len(h):
+            later = _later(doc, h.reshape(-1, 2))
+            doc, at = doc[later], at[later]
+        return pa.table({"doc_id": doc, "at": at})
 
-    return runs.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(lean(group), "doc_id long, at int")
+    return windows.groupBy("block").applyInArrow(group, "doc_id long, at int")
 
 
 def _keeps(c: Chunk, row: int, starts: np.ndarray | None, window: int) -> np.ndarray:
@@ -320,7 +296,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     hits = hits.join(copies.groupBy("doc_id").agg(F.collect_set("text_key").alias("copy_keys")), "doc_id", "left")
     own = F.coalesce(~F.array_contains("copy_keys", F.col("text_key")), F.lit(True))
     candidates = written(keyed.join(hits, "doc_id").where(own).select("doc_id", "text", "text_key", "anchors").distinct(), "candidates")
-    starts = repeated_windows(candidate_runs(candidates, window, gram)).groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+    starts = repeated_windows(candidate_windows(candidates, blocks, window, gram)).groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
     changed = _result(candidates.select("doc_id", "text", "text_key").join(starts, "doc_id"), window, True, with_text).where("n_removed > 0")
     plain = _result(keyed, window, False, with_text)
     names = plain.columns[3:]
