@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from freshet.functions import udf
 from freshet.plans.ddl import mentions
-from freshet.plans.dialect import translate
+from freshet.plans import typed
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels", "conversations", "pages", "benchmark")
@@ -31,7 +31,7 @@ def dialect(sql: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         udf.register(spark)
         bind(spark, sf_dir, sql)
-        return spark.sql(translate(sql))
+        return typed.run(spark, sql)
 
     return run
 

@@ -168,6 +168,9 @@ R.sql("grouping_distinct", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n
 R.sql("grouping", "SELECT o_orderstatus, GROUPING(o_orderstatus) AS g, COUNT(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus)", "SELECT o_orderstatus, CAST(GROUPING(o_orderstatus) AS TINYINT) AS g, COUNT(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus)")
 
 
+R.sql("agg_avg_of_integers", "SELECT l_returnflag, AVG(l_linenumber - 5) AS v, SUM(l_linenumber - 5) / COUNT(*) AS w, AVG(l_linenumber * 1.0D) > 0 AS p FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, CAST(trunc(AVG(l_linenumber - 5)) AS INTEGER) AS v, CAST(trunc(AVG(l_linenumber - 5)) AS BIGINT) AS w, AVG(l_linenumber) > 0 AS p FROM lineitem GROUP BY l_returnflag")
+
+
 @R.query("agg_avg_integer", "SELECT l_returnflag, CAST(trunc(SUM(l_linenumber) / COUNT(l_linenumber)) AS INTEGER) AS v FROM lineitem GROUP BY l_returnflag")
 def agg_avg_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
     (l,) = load(spark, sf_dir, "lineitem")

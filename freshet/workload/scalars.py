@@ -35,7 +35,7 @@ _put("", "part", "p_partkey", {
     "sequence": ("SEQUENCE(25, p_size)", "CASE WHEN p_size < 25 THEN []::INTEGER[] ELSE list_transform(range(25, p_size + 1), lambda x: x::INTEGER) END"), "sign": ("CAST(SIGN(p_size - 25) AS INTEGER)", ""), "sin": ("round(SIN(p_size), 9)", ""), "sinh": ("round(SINH(p_size / 10.0D), 6)", "round(SINH(p_size / 10.0), 6)"), "sqrt": ("round(SQRT(p_size), 9)", ""), "tan": ("round(TAN(p_size), 6)", ""), "tanh": ("round(TANH(p_size / 10.0D), 9)", "round(TANH(p_size / 10.0), 9)"),
     "trunc": ("TRUNC(-p_retailprice, 0)", "trunc(-p_retailprice)"), "truncate": ("TRUNCATE(p_retailprice)", "trunc(p_retailprice)"),
     # operators and conditions
-    "op_modulo": ("p_size % 7", ""), "op_multiply": ("p_size * 3", ""), "op_add": ("p_size + 3", ""), "op_subtract": ("p_size - 3", ""), "op_divide_integer": ("IDIV(p_size, 7)", "p_size // 7"), "op_divide_double": ("FDIV(p_retailprice, p_size - 25)", "CASE WHEN p_size = 25 THEN 'inf'::DOUBLE ELSE p_retailprice / (p_size - 25) END"), "op_cast": ("p_size :: BIGINT", ""),
+    "op_modulo": ("p_size % 7", ""), "op_multiply": ("p_size * 3", ""), "op_add": ("p_size + 3", ""), "op_subtract": ("p_size - 3", ""), "op_divide_integer": ("(p_size * 3 - 50) / 7", "trunc((p_size * 3 - 50)::DOUBLE / 7)::BIGINT"), "op_divide_double": ("FDIV(p_retailprice, p_size - 25)", "CASE WHEN p_size = 25 THEN 'inf'::DOUBLE ELSE p_retailprice / (p_size - 25) END"), "op_cast": ("p_size :: BIGINT", ""),
     "op_less": ("p_size < 25", ""), "op_less_equal": ("p_size <= 25", ""), "op_null_safe": ("nullif(p_size, 25) <=> NULL", "nullif(p_size, 25) IS NOT DISTINCT FROM NULL"), "op_not_equal": ("p_size <> 25", ""), "op_equal": ("p_size = 25", ""), "op_greater": ("p_size > 25", ""), "op_greater_equal": ("p_size >= 25", ""),
     "and": ("p_size > 10 AND p_size < 20", ""), "or": ("p_size < 10 OR p_size > 20", ""), "not": ("NOT (p_size > 10)", ""), "xor": ("XOR(p_size > 10, p_size > 20)", "(p_size > 10) <> (p_size > 20)"), "between": ("p_size BETWEEN 5 AND 9", ""), "not_between": ("p_size NOT BETWEEN 5 AND 9", ""), "between_symmetric": ("p_size BETWEEN SYMMETRIC 9 AND 5", "p_size BETWEEN 5 AND 9"), "not_between_symmetric": ("p_size NOT BETWEEN SYMMETRIC 9 AND 5", "p_size NOT BETWEEN 5 AND 9"),
     "case": ("CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END", ""), "cast": ("CAST(p_size AS VARCHAR)", ""), "cast_char": ("CAST(p_brand AS CHAR(12))", "rpad(p_brand, 12, ' ')"), "cast_varchar": ("CAST(p_brand AS VARCHAR(3))", "p_brand[1:3]"), "cast_decimal_cuts": ("CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS DECIMAL(10,1))", "CAST(trunc(CAST(p_retailprice AS DECIMAL(10,2)) * 10) / 10 AS DECIMAL(10,1))"), "safe_cast": ("SAFE_CAST(p_name AS INTEGER)", "TRY_CAST(p_name AS INTEGER)"),

@@ -4,7 +4,7 @@ import pytest
 
 from freshet.functions import udf
 from freshet.functions.datetimes import java_pattern
-from freshet.plans import ddl, types
+from freshet.plans import ddl, typed, types
 from freshet.plans.dialect import translate
 from freshet.plans.lexer import tree
 
@@ -77,3 +77,13 @@ def test_patterns():
 def test_asof_needs_ge():
     with pytest.raises(ValueError, match=">="):
         translate("SELECT * FROM a LEFT ASOF JOIN b MATCH_CONDITION (a.t > b.t) ON a.k = b.k")
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("SELECT 7 / 2", 3), ("SELECT -7 / 2", -3), ("SELECT 7 / 2 / 2", 1), ("SELECT (7 / 2) * 2 + 9 / 4", 8), ("SELECT 7 / 2.0D", 3.5), ("SELECT CAST(7 AS DOUBLE) / 2", 3.5), ("SELECT AVG(x) FROM (VALUES (1), (2), (4)) AS t(x)", 2), ("SELECT AVG(x) / 2 FROM (VALUES (1), (2), (6)) AS t(x)", 1), ("SELECT (SELECT MAX(x) / 2 FROM (VALUES (5)) AS t(x)) + 0", 2), ("SELECT '1 / 2' || CAST(5 / 2 AS VARCHAR)", "1 / 22"), ("SELECT MAX(a) FROM (SELECT AVG(x) OVER (PARTITION BY x % 2) AS a FROM (VALUES (1), (2), (4)) AS t(x)) AS w", 3)],
+)
+def test_whole_numbers(spark, text, want):
+    """Whole numbers divide to whole numbers, toward zero, and have a whole average; others don't."""
+    got = typed.run(spark, text).first()[0]
+    assert got == want and type(got) is type(want)
