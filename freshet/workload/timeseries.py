@@ -154,6 +154,9 @@ _VIEWS = {
     "ivm_filter": ("SELECT event_id, cents FROM ev WHERE cents > 2000", f"SELECT event_id, {_CENTS} AS cents FROM ({_LEFT}) WHERE {_CENTS} > 2000"),
     "ivm_join": ("SELECT a.event_id AS e1, b.event_id AS e2 FROM ev a JOIN kinds k ON a.event_type = k.kind JOIN ev b ON a.user_id = b.user_id AND b.event_id = a.event_id + 150", f"WITH l AS ({_LEFT}) SELECT a.event_id AS e1, b.event_id AS e2 FROM l a JOIN l b ON a.user_id = b.user_id AND b.event_id = a.event_id + 150 WHERE a.event_type IN ('click', 'view')"),
     "ivm_group": ("SELECT event_type, COUNT(*) AS n, SUM(cents) AS s, MAX(cents) AS m FROM ev GROUP BY event_type", f"SELECT event_type, COUNT(*) AS n, CAST(SUM({_CENTS}) AS BIGINT) AS s, MAX({_CENTS}) AS m FROM ({_LEFT}) GROUP BY event_type"),
+    "ivm_totals": ("SELECT event_type, COUNT(*) AS n, COUNT(cents) AS known, SUM(cents) AS s, AVG(cents) AS mean FROM ev GROUP BY event_type", f"SELECT event_type, COUNT(*) AS n, COUNT({_CENTS}) AS known, CAST(SUM({_CENTS}) AS BIGINT) AS s, CAST(trunc(AVG({_CENTS})) AS BIGINT) AS mean FROM ({_LEFT}) GROUP BY event_type"),
+    "ivm_everything": ("SELECT COUNT(*) AS n, SUM(cents) AS s FROM ev WHERE event_type <> 'error'", f"SELECT COUNT(*) AS n, CAST(SUM({_CENTS}) AS BIGINT) AS s FROM ({_LEFT}) WHERE event_type <> 'error'"),
+    "ivm_join_totals": ("SELECT k.kind, COUNT(*) AS n, SUM(cents) AS s FROM ev JOIN kinds k ON event_type = k.kind GROUP BY k.kind", f"SELECT event_type AS kind, COUNT(*) AS n, CAST(SUM({_CENTS}) AS BIGINT) AS s FROM ({_LEFT}) WHERE event_type IN ('click', 'view') GROUP BY event_type"),
     "ivm_distinct": ("SELECT DISTINCT user_id, event_type FROM ev", f"SELECT DISTINCT user_id, event_type FROM ({_LEFT})"),
     "ivm_window": ("SELECT event_id, user_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY cents DESC, event_id) AS rn FROM ev", f"SELECT event_id, user_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY {_CENTS} DESC, event_id) AS INTEGER) AS rn FROM ({_LEFT})"),
     "ivm_topk": ("SELECT user_id, event_id FROM ev QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY cents DESC, event_id) <= 2", f"SELECT user_id, event_id FROM ({_LEFT}) QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY {_CENTS} DESC, event_id) <= 2"),
@@ -299,6 +302,74 @@ def stream_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.snapshot("v")
 
 
+@R.query("stream_resume", "SELECT event_type, COUNT(*) AS n, MAX(user_id) AS top FROM events GROUP BY event_type")
+def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program resumed after steps enough for its logs to have been compacted, from a checkpoint before them."""
+    (e,) = load(spark, sf_dir, "events")
+    sql = "CREATE TABLE t (event_id BIGINT, user_id BIGINT, event_type VARCHAR); CREATE VIEW v AS SELECT event_type, COUNT(*) AS n, MAX(user_id) AS top FROM t GROUP BY event_type;"
+    part = lambda i: e.where(F.col("event_id") % 5 == i).select("event_id", "user_id", "event_type")
+    path = fresh_path(spark, "checkpoint")
+    p = Program(spark, sql)
+    p.tables["t"].state.compact_after = 2
+    for i in range(5):
+        if i == 2:
+            p.checkpoint(path)
+        p.push("t", part(i))
+        p.step()
+    q = Program.resume(spark, sql, path)
+    for i in range(2, 5):
+        q.push("t", part(i))
+        q.step()
+    return q.snapshot("v")
+
+
+@R.query("sink_index", "SELECT 'update' AS op, event_type, COUNT(*) AS n FROM events GROUP BY event_type")
+def sink_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sink that takes a view's changes as upserts by an index of it."""
+    (e,) = load(spark, sf_dir, "events")
+    p = Program(spark, "CREATE TABLE t (event_id BIGINT, event_type VARCHAR); CREATE VIEW v AS SELECT event_type, COUNT(*) AS n FROM t GROUP BY event_type; CREATE INDEX by_type ON v (event_type);")
+    got = []
+    p.listen("v", lambda step, change: got.append(change), index="by_type")
+    for i in range(2):
+        p.push("t", e.where(F.col("event_id") % 2 == i).select("event_id", "event_type"))
+        p.step()
+    return got[-1]
+
+
+@R.query("table_defaults", "SELECT n_nationkey AS k, 7 AS v, 'none' AS s FROM nation")
+def table_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (n,) = load(spark, sf_dir, "nation")
+    p = Program(spark, "CREATE TABLE t (k INT, v INT DEFAULT 7, s VARCHAR DEFAULT 'none'); CREATE VIEW w AS SELECT k, v, s FROM t;")
+    p.push("t", n.select(F.col("n_nationkey").alias("k")))
+    return zset.expanded(p.step()["w"])
+
+
+@R.query("table_types", "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS r FROM nation")
+def table_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of a user's type."""
+    (n,) = load(spark, sf_dir, "nation")
+    p = Program(spark, "CREATE TYPE place AS (name VARCHAR, r INT); CREATE TABLE t (k INT, p place); CREATE VIEW w AS SELECT k, t.p.name AS name, t.p.r AS r FROM t;")
+    p.push("t", n.select(F.col("n_nationkey").alias("k"), F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").cast("int").alias("r")).alias("p")))
+    return zset.expanded(p.step()["w"])
+
+
+@R.query("table_append_only", "SELECT n_regionkey AS r, MAX(n_nationkey) AS top, TRUE AS refused FROM nation GROUP BY n_regionkey")
+def table_append_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extrema of a table that takes insertions only."""
+    (n,) = load(spark, sf_dir, "nation")
+    p = Program(spark, "CREATE TABLE t (k INT, r INT) WITH ('append_only' = 'true'); CREATE VIEW v AS SELECT r, MAX(k) AS top FROM t GROUP BY r;")
+    rows = n.select(F.col("n_nationkey").cast("int").alias("k"), F.col("n_regionkey").cast("int").alias("r"))
+    for i in range(2):
+        p.push("t", rows.where(F.col("k") % 2 == i))
+        p.step()
+    try:
+        p.push("t", deletes=rows)
+        refused = False
+    except ValueError:
+        refused = True
+    return p.snapshot("v").withColumn("refused", F.lit(refused))
+
+
 @R.query("adhoc_insert", "SELECT n_regionkey AS r, COUNT(*) AS n FROM nation GROUP BY n_regionkey")
 def adhoc_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     load(spark, sf_dir, "nation")[0].createOrReplaceTempView("nation")
@@ -377,10 +448,14 @@ def source_datagen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.bool_and(F.col("u").between(10, 19) & F.col("z").between(0, 999)).alias("in_range"), (F.count_if(F.col("z") == 0) > 100).alias("skewed"), F.countDistinct("key").alias("ids"))
 
 
-@R.query("key_sample", "SELECT CAST(10 AS BIGINT) AS n")
+@R.query("key_sample", "SELECT CAST(10 AS BIGINT) AS n, CAST(10 AS BIGINT) AS known, CAST(COUNT(DISTINCT user_id) AS BIGINT) AS keys FROM events")
 def key_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten different keys, all of them of the table; and all keys, if more are asked for than there are."""
     (e,) = load(spark, sf_dir, "events")
-    return aggregates.key_sample(e, "user_id", 10).agg(F.countDistinct("user_id").alias("n"))
+    drawn = aggregates.key_sample(e, "user_id", 10).select("user_id").distinct()
+    known = drawn.join(e.select("user_id"), "user_id", "left_semi").agg(F.count("*").alias("known"))
+    every = aggregates.key_sample(e, "user_id", 1 << 30).agg(F.countDistinct("user_id").alias("keys"))
+    return drawn.agg(F.count("*").alias("n")).crossJoin(known).crossJoin(every)
 
 
 @R.query("key_quantiles", "SELECT unnest(quantile_disc(user_id, [0.25, 0.5, 0.75])) AS user_id FROM (SELECT DISTINCT user_id FROM events)")
