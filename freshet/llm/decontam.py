@@ -269,7 +269,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> D
             block = shared.value
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for c in chunks(batch.column(at), alnum_words(), lower=True, limit=SEGMENT_BYTES):
+                for c in chunks(batch.column(at), alnum_words(), lower=True):  # small ones: tables of hashes grow with a chunk and stay
                     base, lists, positions = postings(c, block.vocabulary, window + 2)
                     _, start, _ = search_segment(block, lists, positions, 0)
                     keep[c.first + np.searchsorted(base, start, "right") - 1] = False

@@ -46,7 +46,7 @@ FIXED_WEIGHTS = (-6.0, 1.5, 0.0, 0.0)
 #: Stands before the first word.
 START = -1
 #: Pairs a task counts together before it ships them.
-GATHER = 1 << 20
+GATHER = 1 << 19
 LEVELS = ("pair", "word", "stem")
 
 
