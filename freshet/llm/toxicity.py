@@ -14,8 +14,8 @@ A text's evidence is the difference of the classes' log-likelihoods divided by l
 words. A logistic calibration turns these into the score; it grows with each of them unless the calibration rows say otherwise.
 
 Labels are learnt from all rows with crc32(doc_id) mod 5 in 1 to 3 (the counts; grouped and joined, never collected), and the calibration from at most CALIBRATION_ROWS
-rows with 4, drawn by a hash of doc_id. Scores use the text alone. Labels of at most LABEL_BYTES are broadcast to find their texts, others joined. A model of at most MODEL_BYTES is broadcast; a larger one is joined to the words of the
-texts. Either way the scores are the same.
+rows with 4, drawn by a hash of doc_id. Scores use the text alone. Labels of at most LABEL_BYTES are broadcast to find their texts, others joined. A model of at most MODEL_BYTES is broadcast; of a larger one, each batch of BATCH_BYTES
+of text fetches the units it holds. Either way the scores are the same.
 
 Defined cases: null and empty text have no evidence and get the calibration's base score; a null doc_id counts as not held out; without
 labels of both classes every score is 0; without both among the calibration rows, fixed weights hold; contradicting labels of one doc_id, or of one text, count as
@@ -29,7 +29,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.llm._stage import dropped, free_name, lean, table, trim, written
@@ -41,6 +42,8 @@ PASSAGES = (1, 3)
 PRUNE = 0.3
 CALIBRATION_ROWS = 20_000
 MODEL_BYTES = LABEL_BYTES = 64 << 20
+#: Beyond MODEL_BYTES: units in a block of the model, bytes of the sieve at most, and bytes of text that ask for their units together.
+BLOCK_UNITS, FILTER_BYTES, BATCH_BYTES = 1 << 17, 32 << 20, 16 << 20
 #: Without calibration rows of both classes: base, passages, whole text.
 FIXED_WEIGHTS = (-6.0, 1.5, 0.0, 0.0)
 #: Stands before the first word.
@@ -342,42 +345,162 @@ def evidence(docs: DataFrame, model: Model, name: str) -> DataFrame:
     names = [f"c{i}" for i in range(len(columns))]
     at = columns.index("text")
     if model.table is not None:
-        return _joined_evidence(docs.toDF(*names), names[at], model.table).toDF(*columns, name)
+        return _joined_evidence(docs.toDF(*names), at, model.table).toDF(*columns, name)
     shared = docs.sparkSession.sparkContext.broadcast(Model(model.units, model.ratios))  # MODEL_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             found = [m.features(c) for c in chunks(batch.column(at), alnum_words(), lower=True)]
-            flat = np.concatenate(found) if found else np.zeros((0, len(PASSAGES) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*names, "features"])
+            yield with_features(batch, np.concatenate(found) if found else np.zeros((0, len(PASSAGES) + 1)))
 
     schema = ", ".join([*[f"`{n}` {k}" for n, k in zip(names, kinds)], "features array<double>"])
     return docs.toDF(*names).mapInArrow(lean(run), schema).toDF(*columns, name)
 
 
-def _joined_evidence(docs: DataFrame, text: str, known: DataFrame) -> DataFrame:
-    """The same by joins, for a model of any size: every word's units meet the table, windows run over the words of a row."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+def _joined_evidence(docs: DataFrame, at: int, known: DataFrame) -> DataFrame:
+    """The same for a model of any size; the text is column ``at``. Batches of texts ask blocks of the model for their different units, and take the answers along as small models of their own.
 
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in chunks(batch.column(1), alnum_words(), lower=True):
-                u = unit_keys(c)
-                row = batch.column(0).slice(c.first, c.rows).to_numpy()[c.doc_of_word()]
-                at = np.arange(len(u)) - np.repeat(c.word_at[:-1], c.counts())
-                k = u.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row, k)), pa.array(np.repeat(at, k)), pa.array(np.tile(np.arange(k, dtype=np.int32), len(u))), pa.array(u.reshape(-1).view(np.int64))], names=["_row", "at", "level", "unit"])
-
-    met = rows.select("_row", text).mapInArrow(lean(units), "_row long, at long, level int, unit long").join(known, "unit", "left")
-    best = F.coalesce(F.min_by("ratio", F.when(F.col("ratio").isNotNull(), F.col("level"))), F.lit(0.0))
-    words = met.groupBy("_row", "at").agg(best.cast("float").cast("double").alias("e"))
-    span = lambda p: F.sum("e").over(Window.partitionBy("_row").orderBy("at").rowsBetween(1 - p, 0))
-    wide = words.select("_row", "at", "e", *[F.when(F.col("at") >= p - 1, span(p)).alias(f"p{p}") for p in PASSAGES])
-    by_row = wide.groupBy("_row").agg(*[(F.coalesce(F.max(f"p{p}"), F.sum("e")) / p).alias(f"p{p}") for p in PASSAGES], F.avg("e").alias("whole"))
-    features = F.array(*[F.coalesce(c, F.lit(0.0)) for c in (*[f"p{p}" for p in PASSAGES], "whole")])
-    return rows.join(by_row, "_row", "left").select(*docs.columns, features.alias("features"))
+    A sieve of FILTER_BYTES at most spares most questions that have no answer; it lets some through, and loses none.
+    """
+    n = known.count()
+    blocks = max(1, -(-n // BLOCK_UNITS))
+    model, bits = _model_blocks(known, blocks, max(8, min(8 * BLOCK_UNITS, 8 * FILTER_BYTES // blocks) // 8 * 8))
+    asked = written(_questions(docs, at, bits), "asked")
+    answers = _answers(model, asked)
+    texts = asked.where("block IS NULL").select("batch", "texts", F.lit(None).cast("binary").alias("units"), F.lit(None).cast("binary").alias("ratios"))
+    both = texts.unionByName(answers.select("batch", F.lit(None).cast("binary").alias("texts"), "units", "ratios"))
+    both = both.repartition("batch").sortWithinPartitions("batch", F.col("texts").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, Model(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            for i in range(b.num_rows):
+                if b.column(0)[i].as_py() != key:
+                    key, held, own = b.column(0)[i].as_py(), [], Model(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+                if not b.column(1)[i].is_valid:
+                    held.append((np.frombuffer(b.column(2)[i].as_py(), "<u8"), np.frombuffer(b.column(3)[i].as_py(), "<f4")))
+                    continue
+                if held:
+                    units, ratios = (np.concatenate(x) for x in zip(*held))
+                    order = np.argsort(units)
+                    own, held = Model(units[order], ratios[order]), []
+                for part in pa.ipc.open_stream(b.column(1)[i].as_py()):
+                    for c in chunks(part.column(at), alnum_words(), lower=True):
+                        yield with_features(part.slice(c.first, c.rows), own.features(c))
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "features array<double>"])
+    return both.mapInArrow(lean(run), schema)
+
+
+def with_features(batch: pa.RecordBatch, features: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(features) + 1) * features.shape[1], pa.int32()), pa.array(features.reshape(-1)))
+    return pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "features"])
+
+
+def _block(units: np.ndarray, blocks: int) -> np.ndarray:
+    """As Spark's pmod(unit, blocks)."""
+    return units.view(np.int64) % blocks
+
+
+def _places(units: np.ndarray, width: int) -> list[np.ndarray]:
+    """The bits of each unit in its block's part of the sieve."""
+    return [(mix(units, salt) % np.uint64(width)).astype(np.int64) for salt in (65, 66)]
+
+
+def _model_blocks(known: DataFrame, blocks: int, width: int) -> tuple[DataFrame, np.ndarray]:
+    """(block, units, ratios): the model in sorted blocks, written; and the sieve, one row of ``width`` bits for each block."""
+
+    def pack(rows: pa.Table) -> pa.Table:
+        units = rows["unit"].to_numpy().view(np.uint64)
+        order = np.argsort(units)
+        bits = np.zeros(width, bool)
+        for at in _places(units, width):
+            bits[at] = True
+        values = [units[order].tobytes(), rows["ratio"].to_numpy()[order].astype("<f4").tobytes(), np.packbits(bits).tobytes()]
+        return pa.table({"block": pa.array([rows["block"][0].as_py()], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in zip(("units", "ratios", "bits"), values)}})
+
+    keyed = known.withColumn("block", F.pmod("unit", F.lit(blocks).cast("long")))
+    model = written(keyed.groupBy("block").applyInArrow(pack, "block long, units binary, ratios binary, bits binary"), "blocks")
+    sieve = np.zeros((blocks, width // 8), np.uint8)
+    for r in model.select("block", "bits").toLocalIterator():
+        sieve[r.block] = np.frombuffer(r.bits, np.uint8)
+    return model.select("block", "units", "ratios"), sieve
+
+
+def _questions(docs: DataFrame, at: int, bits: np.ndarray) -> DataFrame:
+    """(batch, block, texts, units): the rows of each batch, packed as Arrow streams, and its different units of each block that pass the sieve."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = shared.value
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for b in batches:
+            for c in chunks(b.column(at), alnum_words(), lower=True):
+                yield row([number], [None], [packed(b.slice(c.first, c.rows))], [None])
+                held.append(sifted(np.unique(unit_keys(c)), sieve))
+                size += len(c.data)
+                if size >= BATCH_BYTES:
+                    yield from asked(number, held, len(sieve))
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield from asked(number, held, len(sieve))
+
+    def sifted(units: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+        block = _block(units, len(sieve))
+        ok = np.ones(len(units), bool)
+        for place in _places(units, 8 * sieve.shape[1]):
+            ok &= (sieve[block, place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+        return units[ok]
+
+    def asked(number: int, held: list[np.ndarray], blocks: int) -> Iterator[pa.RecordBatch]:
+        units = np.unique(np.concatenate(held))
+        block = _block(units, blocks)
+        order = np.argsort(block, kind="stable")
+        units, block = units[order], block[order]
+        edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(units) else np.zeros(1, np.int64)
+        if len(edges) > 1:
+            yield row([number] * (len(edges) - 1), block[edges[:-1]], [None] * (len(edges) - 1), [units[a:z].tobytes() for a, z in zip(edges[:-1], edges[1:])])
+
+    def row(number: list, block: list, texts: list, units: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(block, pa.int64()), pa.array(texts, pa.binary()), pa.array(units, pa.binary())], names=["batch", "block", "texts", "units"])
+
+    return docs.mapInArrow(lean(run), "batch long, block long, texts binary, units binary")
+
+
+def packed(rows: pa.RecordBatch) -> bytes:
+    """``rows`` as a compressed Arrow stream."""
+    codec = next((k for k in ("zstd", "lz4") if pa.Codec.is_available(k)), None)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _answers(model: DataFrame, asked: DataFrame) -> DataFrame:
+    """(batch, units, ratios): what the model knows of the units that each batch asks each block for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, units, ratios = None, np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        for b in batches:
+            out: list[tuple[int, bytes, bytes]] = []
+            for i in range(b.num_rows):
+                want = np.frombuffer(b.column(2)[i].as_py(), "<u8")
+                if not b.column(1)[i].is_valid:  # a block of the model comes before what is asked of it
+                    key, units, ratios = b.column(0)[i].as_py(), want, np.frombuffer(b.column(3)[i].as_py(), "<f4")
+                elif b.column(0)[i].as_py() == key:
+                    at = np.minimum(np.searchsorted(units, want), len(units) - 1)
+                    hit = units[at] == want
+                    if hit.any():
+                        out.append((b.column(1)[i].as_py(), want[hit].tobytes(), ratios[at[hit]].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], names=["batch", "units", "ratios"])
+
+    none = F.lit(None)
+    wanted = asked.where("block IS NOT NULL").select("block", "batch", "units", none.cast("binary").alias("ratios"))
+    both = model.select("block", none.cast("long").alias("batch"), "units", "ratios").unionByName(wanted)
+    return both.repartition("block").sortWithinPartitions("block", F.col("batch").asc_nulls_first()).mapInArrow(lean(run), "batch long, units binary, ratios binary")
 
 
 def scored(docs: DataFrame, model: Model | None, name: str = "toxic_score") -> DataFrame:

@@ -258,6 +258,35 @@ def test_toxicity_against_dictionaries(spark):
         assert all(abs(scores[i] - 1 / (1 + np.exp(-z[i]))) < 1e-9 for i in z)
 
 
+def _shuffled(spark):
+    """Bytes that the stages so far wrote to shuffles."""
+    sc, jvm = spark.sparkContext, spark._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_toxicity_large_model(spark, monkeypatch):
+    """A model that isn't broadcast: the same evidence to the last bit, from several blocks and batches, without a shuffle of the texts' single words."""
+    monkeypatch.setattr(toxicity, "BLOCK_UNITS", 500, raising=False)
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{i}ord{i * 7919 % 1000}" for i in range(3000)])
+    texts = [" ".join(rng.choice(words, 1000)) for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), (300, None), (301, ""), (302, "unheard of"), (0, texts[0]), (None, texts[1])], "doc_id long, text string").repartition(3)
+    c = next(toxicity.chunks(pa.array(texts[:40]), toxicity.alnum_words(), lower=True))
+    units = np.unique(toxicity.unit_keys(c)[::5])
+    ratios = rng.normal(size=len(units)).astype(np.float32)
+    known = spark.createDataFrame(list(zip(units.view(np.int64).tolist(), ratios.tolist())), "unit long, ratio double")
+    order = [F.col("doc_id"), F.col("text")]
+    want = toxicity.evidence(docs, toxicity.Model(units, ratios), "f").orderBy(*order).collect()
+    before = _shuffled(spark)
+    rows = toxicity.evidence(docs, toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), known), "f").collect()
+    moved = sum(n - before.get(k, 0) for k, n in _shuffled(spark).items())
+    assert sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id, r.text or "")) == want and len(want) == 305
+    # with repartition(3), which moves the texts once
+    assert moved < 2 * sum(map(len, texts))
+
+
 def test_toxicity_without_calibration(spark):
     """No rows in the calibration fold, or of one class only: the fixed weights hold."""
     made = [(i, "quite fine words here" if i % 2 else "you utter grimword", i % 2 == 0) for i in range(200) if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)]
