@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,8 +46,12 @@ class StateLog:
             z.withColumn("bucket_", self._bucket()).hint("rebalance", "bucket_").write.mode("overwrite").partitionBy("bucket_").parquet(segment)
         else:
             z.write.mode("overwrite").parquet(segment)
-        found = seen.get
+        try:
+            found = seen.get
+        except Py4JJavaError:  # PySpark can't read the empty row that stands for figures that got lost
+            found = {}
         if "n" not in found:
+            self.weights.pop(segment, None)  # those of the same step's earlier write
             return 1  # not told: as if there were some, of any weight
         self.weights[segment] = (found["lo"] or 0, found["hi"] or 0)
         return found["n"]

@@ -4,9 +4,12 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import types as T
 
 from freshet.streaming import zset
 from freshet.streaming.program import Program
+from freshet.streaming.state import StateLog
 
 SQL = """
 CREATE TABLE emp (id INT, dept INT, sal BIGINT);
@@ -201,3 +204,14 @@ def test_index_sink_and_push_order(spark):
     p.push("t", deletes=row((2, 2)))
     p.step()
     assert seen == [[("insert", 1, 10), ("insert", 2, 2)], [("delete", 2, None), ("update", 1, 11)]]
+
+
+def test_lost_figures_of_a_write(spark, monkeypatch):
+    """Spark may lose the figures of a write, and PySpark then fails to read the empty row: the log goes on, and is added up."""
+    jvm = spark._jvm
+    monkeypatch.setattr(Observation, "get", property(lambda self: jvm.org.apache.spark.sql.api.python.PythonSQLUtils.toPyRow(jvm.org.apache.spark.sql.Row.empty())))
+    log = StateLog(spark, "lost", T.StructType([T.StructField("k", T.IntegerType())]), ["k"])
+    log.weights[f"{log.path}/step=0"] = (1, 1)  # of an earlier write of the step
+    log.append(spark.createDataFrame([(1, 1), (2, 1), (2, 1)], "k int, w long").toDF("k", zset.W), 0)
+    log.append(spark.createDataFrame([(1, -1)], "k int, w long").toDF("k", zset.W), 1)
+    assert sorted(r.k for r in log.relation().collect()) == [2, 2]
